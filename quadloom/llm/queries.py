@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quadloom.llm.media import op9_media_columns
+from quadloom.llm.secret_scan import op8_secret_scan
 from quadloom.llm.substring_dedup import op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op7_substring_dedup, op8_secret_scan, op9_media_columns)}
 ORACLES: dict[str, str] = {}
