@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from quadloom.llm.language_id import op4_language_id
 from quadloom.llm.media import op9_media_columns
+from quadloom.llm.packing import op3_best_fit_packing
+from quadloom.llm.pii import op6_pii
 from quadloom.llm.secret_scan import op8_secret_scan
+from quadloom.llm.sentencepiece_codec import op2_sentencepiece
 from quadloom.llm.substring_dedup import op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup, op8_secret_scan, op9_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_sentencepiece, op3_best_fit_packing, op4_language_id, op6_pii, op7_substring_dedup, op8_secret_scan, op9_media_columns)
+}
 ORACLES: dict[str, str] = {}
