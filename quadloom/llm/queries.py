@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quadloom.llm.html_extract import op5_html_extraction
 from quadloom.llm.language_id import op4_language_id
 from quadloom.llm.learned_ann import op1_learned_ann
 from quadloom.llm.media import op9_media_columns
@@ -19,6 +20,7 @@ QUERIES = {
         op2_sentencepiece,
         op3_best_fit_packing,
         op4_language_id,
+        op5_html_extraction,
         op6_pii,
         op7_substring_dedup,
         op8_secret_scan,

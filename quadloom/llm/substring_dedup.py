@@ -21,8 +21,6 @@ doc_id and text are ignored (duplicates()) or carried unchanged (deduplicated())
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,8 +164,32 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> Dat
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _clean(window: int, text_at: int):
+    def run(batches):
+        for whole in batches:
+            for batch in X.slices(whole):
+                data, offsets = X.utf8(batch.column(text_at))
+                _, _, first = X.words(data, offsets)
+                gone = _covered(batch.column(batch.num_columns - 1), first, window)
+                raw, texts, keep = data.tobytes(), [], []
+                for r in range(batch.num_rows):
+                    own, out = raw[offsets[r] : offsets[r + 1]], gone[first[r] : first[r + 1]]
+                    if out.any():
+                        own = b" ".join([w for w, g in zip(own.split(), out.tolist(), strict=True) if not g])
+                    texts.append(own)
+                    keep.append(not (len(out) and out.all()))
+                fresh = pa.array(texts, pa.binary(), mask=np.asarray(batch.column(text_at).is_null())).cast(pa.string())
+                rest = batch.select(range(batch.num_columns - 1))
+                yield rest.set_column(text_at, rest.schema.field(text_at), fresh).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
+    """docs without the repeated passages; rows of which nothing is left go, texts without any stay as they are."""
+    spans = duplicates(docs, window, kmer).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    return joined.mapInArrow(_clean(window, docs.columns.index("text")), docs.schema)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
