@@ -233,3 +233,133 @@ sparql("quads_mixed_arith", "SELECT (STR(?k) AS ?key) (STR(?k + 1) AS ?next) (ST
 sparql("quads_optional_minus", 'SELECT (STR(?n) AS ?name) (STR(?z) AS ?big) WHERE { ?x nation:n_name ?n ; nation:n_nationkey ?k OPTIONAL { ?x nation:n_nationkey ?z FILTER(?z > 20) } MINUS { ?x nation:n_regionkey <urn:t/region/2> } }', "select n_name as name, case when n_nationkey>20 then cast(n_nationkey as varchar) end big from nation where n_regionkey<>2", materialised=True)
 sparql("quads_order_mixed", "SELECT (STR(?o) AS ?v) WHERE { <urn:t/nation/5> ?p ?o } ORDER BY ?o", "select unnest(['urn:t/nation', 'urn:t/region/'||n_regionkey, cast(n_nationkey as varchar), n_name]) v from nation where n_nationkey=5", materialised=True)
 sparql("quads_min_max_mixed", "SELECT (STR(MIN(?o)) AS ?lo) (STR(MAX(?o)) AS ?hi) (COUNT(?o) AS ?n) WHERE { ?s ?p ?o . ?s a t:region }", None, materialised=True)
+
+
+# Updates, on a materialised copy of a table
+
+
+def _triples(spark: SparkSession, sf_dir: str, table: str) -> Engine:
+    return engine(spark, sf_dir, {table}).materialised()
+
+
+@query("select count(*) n, 2 m from region")
+def insert_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'INSERT DATA { <urn:t/region/0> <urn:x/tag> "a", "b", "a" . "no" <urn:x/tag> "c" . GRAPH g:new { <urn:t/region/0> <urn:x/tag> "a" } }'
+    own = _triples(spark, sf_dir, "region").update(text)
+    tags = own.select("SELECT (COUNT(?t) AS ?c) FROM <default:> WHERE { ?s <urn:x/tag> ?t }").selectExpr("cast(c as int) m")
+    return own.select("SELECT (COUNT(DISTINCT ?r) AS ?n) WHERE { ?r region:r_name ?x }").crossJoin(tags)
+
+
+@query("select r_name n from region where r_regionkey<>2")
+def delete_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _triples(spark, sf_dir, "region").update('DELETE DATA { <urn:t/region/2> region:r_regionkey "2"^^xsd:int }')
+    return own.select("SELECT (STR(?x) AS ?n) WHERE { ?r region:r_name ?x ; region:r_regionkey ?k }")
+
+
+@query("select case when event_type='error' then 'failure' else event_type end t, count(*) n from events group by 1")
+def delete_insert_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _triples(spark, sf_dir, "events")
+    own.quads = own.quads.where(F.col("p") == "urn:t/events#event_type")
+    own = own.update('DELETE { GRAPH ?g { ?e events:event_type ?t } } INSERT { GRAPH ?g { ?e events:event_type "failure" } } WHERE { GRAPH ?g { ?e events:event_type ?t } FILTER(?t = "error") }')
+    return own.select("SELECT (STR(?x) AS ?t) (COUNT(?e) AS ?n) WHERE { ?e events:event_type ?x } GROUP BY ?x")
+
+
+@query("select 'urn:g/'||event_type g, count(*) n from events where event_type<>'click' group by 1")
+def clear_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _triples(spark, sf_dir, "events")
+    own.quads = own.quads.where(F.col("p") == "urn:t/events#event_type")
+    return own.update("CREATE GRAPH g:other; CLEAR GRAPH g:click").select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?e events:event_type ?t } } GROUP BY ?g")
+
+
+@query("select unnest(['urn:g/a','urn:g/b','urn:g/c']) g, count(*) n from region")
+def add_copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _triples(spark, sf_dir, "region")
+    own.quads = own.quads.where(F.col("p") == "urn:t/region#r_name")
+    own = own.update("ADD DEFAULT TO g:a; COPY g:a TO g:b; MOVE g:a TO g:c; COPY g:c TO g:a; DROP DEFAULT")
+    return own.select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?r region:r_name ?x } } GROUP BY ?g")
+
+
+@query("select r_name n, 'urn:x/loaded' g from region")
+def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes N-Quads of a table to the shared folder and loads them."""
+    import tempfile
+    import uuid
+
+    from quadloom.sources import rdf
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadloom-")
+    path = f"{base}/load-{uuid.uuid4().hex}"
+    rdf.write(_triples(spark, sf_dir, "region").quads, path + ".nt", "ntriples")
+    own = Engine(spark, prefixes=PREFIXES).update(f"LOAD <{path}.nt> INTO GRAPH <urn:x/loaded>", allow_load=True)
+    return own.select("SELECT (STR(?x) AS ?n) (STR(?h) AS ?g) WHERE { GRAPH ?h { ?r region:r_name ?x } }")
+
+
+# Full text, access, serialisations
+
+
+@query(r"""select count(*) n from (select distinct doc_id, unnest(string_split_regex(lower(text),'[ \n\t\r!@$%^&*()_=+\[\]{};:"\\|<>,./?#-]+')) tok from documents) where tok<>''""")
+def ft_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.functions.fulltext import tokens
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.explode(tokens(F.lower("text"))).alias("t")).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def ft_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.functions.fulltext import stems, tokens
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    words = docs.select(F.explode(tokens(F.lower("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    return words.groupBy(stems(F.col("t")).alias("stem")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("words"))
+
+
+@query()
+def ft_metaphone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.functions.fulltext import codes, tokens
+
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(tokens(F.col("p_name"))).alias("t"))
+    return names.select("p_partkey", F.explode(codes(F.col("t"))).alias("code")).distinct()
+
+
+@query(
+    r"""select i.item_id from (select item_id, unnest(string_split_regex(lower(text),'[ \n\t\r!@$%^&*()_=+\[\]{};:"\\|<>,./?#-]+')) tok from benchmark) i where tok='the' group by 1"""
+)
+def ft_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token index derived by configuration, searched by an ordinary pattern."""
+    from quadloom.functions.fulltext import derived
+
+    own = _triples(spark, sf_dir, "benchmark").update("INSERT DATA { GRAPH <system:config> { benchmark:text <urn:quadloom:text#index> <urn:quadloom:text#token> } }")
+    own.quads = own.quads.unionByName(derived(own.quads, own.quads))
+    return own.select('SELECT (xsd:integer(?k) AS ?item_id) WHERE { ?b <urn:quadloom:text#token> "the" ; benchmark:item_id ?k }')
+
+
+@query("select 'urn:g/'||event_type g, count(*) n from events where event_type<>'purchase' group by 1")
+def acl_hidden_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = engine(spark, sf_dir, {"events"})
+    rules = Engine(spark, prefixes=PREFIXES).update('INSERT DATA { GRAPH <system:config> { g:purchase <urn:quadloom:acl#onlyAccessBy> "k1" . g:click <urn:quadloom:acl#onlyAccessBy> "k2" . <urn:all> <urn:quadloom:acl#admin> "root" } }')
+    reader = Engine(spark, own.tables, rules.quads, prefixes=PREFIXES, api_key="k2")
+    return reader.select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?e events:value ?v } } GROUP BY ?g")
+
+
+@query("select '<urn:t/region/'||r_regionkey||'> <urn:t/region#r_name> \"'||r_name||'\" .' as value from region")
+def write_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    quads = _triples(spark, sf_dir, "region").quads
+    return rdf.lines(quads.where(F.col("p") == "urn:t/region#r_name"))
+
+
+@query("select n_name as name, n_nationkey k from nation")
+def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as lines, read again as N-Triples and queried."""
+    from quadloom.sources import rdf
+
+    lines = rdf.lines(_triples(spark, sf_dir, "nation").quads)
+    own = Engine(spark, {}, rdf.parsed_lines(lines), prefixes=PREFIXES)
+    return own.select("SELECT (STR(?x) AS ?name) (xsd:integer(?j) AS ?k) WHERE { ?n nation:n_name ?x ; nation:n_nationkey ?j }")
+
+
+@query("select 'default:' g, count(*)*3 n from region")
+def size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, {"region"}).size()
