@@ -76,12 +76,14 @@ class Engine:
     """Queries over mapped tables and quads.
 
     rules: the algebra rules that are on. soft_limit: rows a scan gives at most (off by default: answers are exact).
+    restricted: with a soft limit, the inputs of joins between groups are cut there too, with a warning.
     default_graph_only: patterns outside GRAPH see the default graph alone instead of the union of all graphs.
     api_key: the reader's key where graphs are protected.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict | None = None, quads: DataFrame | None = None, *, rules=RULES, soft_limit: int = -1, default_graph_only: bool = False, api_key: str | None = None, base: str = "", prefixes: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict | None = None, quads: DataFrame | None = None, *, rules=RULES, soft_limit: int = -1, restricted: bool = False, default_graph_only: bool = False, api_key: str | None = None, base: str = "", prefixes: dict[str, str] | None = None):
         self.spark, self.tables, self.quads, self.rules, self.soft_limit, self.default_graph_only, self.api_key, self.base = spark, tables or {}, quads, frozenset(rules), soft_limit, default_graph_only, api_key, base
+        self.restricted = restricted
         self.prefixes = {"xsd": R.XSD, "rdf": R.RDF, **(prefixes or {})}
 
     def dataset(self) -> Dataset:
@@ -90,7 +92,7 @@ class Engine:
             from quadloom.operators.access import hidden_graphs
 
             hidden = hidden_graphs(self.quads, self.api_key)
-        return Dataset(self.spark, self.tables, self.quads, hidden, self.rules, self.soft_limit, self.default_graph_only)
+        return Dataset(self.spark, self.tables, self.quads, hidden, self.rules, self.soft_limit, self.default_graph_only, self.restricted)
 
     def parsed(self, text: str) -> G.Query:
         return parse_query(text, self.base, self.prefixes)
@@ -123,6 +125,21 @@ class Engine:
         made = _filled(rel, q.template)
         return made.distinct() if made is not None else empty_quads(self.spark)
 
+    def insert_constructed(self, text: str, graph: str | None = None) -> Engine:
+        """The engine with what a CONSTRUCT query makes added to a graph (the base IRI, if none is named)."""
+        from quadloom.operators.update import post_graph
+
+        own = self.materialised() if self.tables else self
+        quads = own.quads if own.quads is not None else empty_quads(self.spark)
+        return Engine(self.spark, {}, post_graph(quads, graph or self.base or R.DEFAULT_GRAPH, self.query(text)), rules=self.rules, api_key=self.api_key, base=self.base, prefixes=self.prefixes)
+
+    def explain(self, text: str) -> str:
+        """The algebra of a query and Spark's physical plan."""
+        q = self.parsed(text)
+        found = self.query(text)
+        df = found if isinstance(found, DataFrame) else found.df
+        return f"{q}\n\n{df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}"
+
     def describe(self, q: G.Query, compiler: QueryCompiler) -> DataFrame:
         """All triples about each described resource, one level deep."""
         slots = q.describe or [R.Var(v) for v in sorted(G.pattern_vars(q.where)) if not v.startswith(":")]

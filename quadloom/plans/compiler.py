@@ -40,6 +40,7 @@ class Dataset:
     rules: frozenset[str] = RULES
     soft_limit: int = -1
     default_only: bool = False
+    restricted: bool = False
 
     def __post_init__(self):
         self.by_predicate = {p: t for t in self.tables.values() for p in t.predicates}
@@ -280,9 +281,16 @@ class QueryCompiler:
             else:
                 rel = self.group(p, graph, inner | G.used_vars(p))
             if rel is not None:
-                now = rel if now is None else join(now, rel)
+                now = rel if now is None else join(self._cut(now), self._cut(rel))
         return now or unit(self.data.spark), filters
 
+    def _cut(self, rel: Rel) -> Rel:
+        """Restricted mode: a join's input of soft_limit rows at most."""
+        if not self.data.restricted or self.data.soft_limit <= 0:
+            return rel
+        self.warnings.append(f"a join's input was cut at {self.data.soft_limit} rows")
+        return Rel(rel.df.limit(self.data.soft_limit), rel.vars)
+
     def graphs(self, name) -> Rel:
         """The graphs themselves: GRAPH ?g {}."""
         rels = [Rel.of(t.df.select(t.graph).distinct(), {"g": t.graph_value()}) for t in self.data.tables.values() if t.graph]

@@ -169,3 +169,15 @@ def test_soft_limit_warns(people):
     e = Engine(people.spark, {}, people.quads, prefixes=people.prefixes, soft_limit=2)
     r = e.query("SELECT ?x WHERE { ?x :age ?g }")
     assert r.df.count() == 2 and r.warnings
+
+
+def test_construct_as_insert_and_explain(people):
+    e = people.insert_constructed("CONSTRUCT { ?y :knownBy ?x } WHERE { ?x :knows ?y }", "urn:made")
+    assert rows(e, "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g") == [("urn:made", "4")]
+    assert "Physical Plan" in people.explain("SELECT ?x WHERE { ?x :age ?g }")
+
+
+def test_restricted_cuts_join_inputs(people):
+    e = Engine(people.spark, {}, people.quads, prefixes=people.prefixes, soft_limit=1, restricted=True)
+    r = e.query("SELECT ?x WHERE { { ?x :age ?g } { ?y :name ?n FILTER(BOUND(?n)) } }")
+    assert r.df.count() == 1 and any("join" in w for w in r.warnings)
