@@ -157,6 +157,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
 
 
+def chance(*columns: str) -> Column:
+    """A number in [0, 1) by hash. With an id among the columns equal texts have numbers of their own."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
+
+
+def hash_sample(docs: DataFrame, most: int) -> list[str]:
+    """About `most` texts at most of docs(doc_id, text), picked by hash: the driver gets no more, whatever the input."""
+    n = docs.count()
+    rows = docs.select("text", chance("doc_id", "text").alias("h")).where(F.col("h") < min(1.0, 1.2 * most / max(n, 1))).collect()
+    return [r.text for r in sorted(rows, key=lambda r: (r.h, r.text))[:most]]
+
+
 def crc_text(column: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
