@@ -126,15 +126,14 @@ def fitted(texts: dict[str, list[str]], path: str | None = None, passes: int = P
 
 
 def model_of(docs: DataFrame, most_docs: int = SAMPLE_DOCS, path: str | None = None) -> Model:
-    """Fitted on labelled documents whose crc32(doc_id) mod 4 is not 2, at most most_docs of each language, picked by a hash of the text."""
+    """Fitted on labelled documents whose crc32(doc_id) mod 4 is not 2, at most most_docs of each language, picked by a hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(X.crc_text("doc_id") % 4, F.lit(0)) != 2))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     share = {r.lang: min(1.0, 1.3 * most_docs / r.c) for r in counts.collect()}  # one number for each language
     if not share:
         return fitted({}, path)
     limit = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
-    rows = known.select("lang", "text", chance.alias("h")).where(F.col("h") < limit).collect()
+    rows = known.select("lang", "text", X.chance("doc_id", "text").alias("h")).where(F.col("h") < limit).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.text)):
         own = texts.setdefault(r.lang, [])
