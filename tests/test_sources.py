@@ -5,7 +5,7 @@ import xml.etree.ElementTree as ET
 
 from quadloom.engine import Engine
 from quadloom.functions.phonetic import double_metaphone
-from quadloom.functions.stem import english
+from quadloom.functions.stem import english, stem
 from quadloom.sources import rdf
 from quadloom.sources.store import Store
 from quadloom.streaming.ingest import ingest, quad_stream
@@ -95,6 +95,20 @@ def test_text_index(spark, tmp_path):
     assert s.query("SELECT ?x WHERE { ?x <urn:quadloom:text#stem> 'run' }").df.count() == 1
 
 
+def test_other_languages():
+    expected = {
+        "de": {"aufeinanderfolgende": "aufeinanderfolg", "kategorischen": "kategor", "häuser": "haus", "freundlichkeit": "freundlich", "wissenschaften": "wissenschaft"},
+        "sv": {"jaktkarlarne": "jaktkarl", "friskt": "frisk"},
+        "no": {"havnedistriktene": "havnedistrikt", "opningene": "opning"},
+        "da": {"indtage": "indtag", "husene": "hus"},
+        "es": {"torear": "tor", "toreado": "tor", "cheques": "chequ", "rápidamente": "rapid", "naciones": "nacion"},
+        "fr": {"maison": None},
+    }
+    for lang, words in expected.items():
+        for w, x in words.items():
+            assert stem(w, lang) == x, (lang, w, stem(w, lang))
+
+
 def test_stems_and_codes():
     # Examples of the published descriptions.
     expected = {"consign": "consign", "consigned": "consign", "consisting": "consist", "consistency": "consist", "knightly": "knight", "hopping": "hop", "hoping": "hope", "relational": "relat", "skies": "sky", "generously": "generous", "ponies": "poni", "cats": "cat", "troubles": "troubl", "bed": "bed", "happy": "happi", "say": "say"}
