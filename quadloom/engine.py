@@ -78,17 +78,25 @@ class Engine:
     rules: the algebra rules that are on. soft_limit: rows a scan gives at most (off by default: answers are exact).
     restricted: with a soft limit, the inputs of joins between groups are cut there too, with a warning.
     default_graph_only: patterns outside GRAPH see the default graph alone instead of the union of all graphs.
-    api_key: the reader's key where graphs are protected.
+    api_key: the reader's key where graphs are protected. access: whether they are; None: if quads hold any rule.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict | None = None, quads: DataFrame | None = None, *, rules=RULES, soft_limit: int = -1, restricted: bool = False, default_graph_only: bool = False, api_key: str | None = None, base: str = "", prefixes: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict | None = None, quads: DataFrame | None = None, *, rules=RULES, soft_limit: int = -1, restricted: bool = False, default_graph_only: bool = False, api_key: str | None = None, access: bool | None = None, base: str = "", prefixes: dict[str, str] | None = None):
         self.spark, self.tables, self.quads, self.rules, self.soft_limit, self.default_graph_only, self.api_key, self.base = spark, tables or {}, quads, frozenset(rules), soft_limit, default_graph_only, api_key, base
-        self.restricted = restricted
+        self.restricted, self.access = restricted, access
         self.prefixes = {"xsd": R.XSD, "rdf": R.RDF, **(prefixes or {})}
 
+    def controlled(self) -> bool:
+        """Whether any access rule exists; looked up once, as patterns need no extra join where there is none."""
+        if self.access is None:
+            from quadloom.operators.access import rules_of
+
+            self.access = self.quads is not None and rules_of(self.quads).limit(1).count() > 0
+        return self.access
+
     def dataset(self) -> Dataset:
         hidden = None
-        if self.quads is not None:
+        if self.controlled():
             from quadloom.operators.access import hidden_graphs
 
             hidden = hidden_graphs(self.quads, self.api_key)
@@ -192,7 +200,8 @@ class Engine:
 
     def materialised(self) -> Engine:
         """An engine over the same triples as generic quads."""
-        return Engine(self.spark, {}, Dataset(self.spark, self.tables, self.quads).all_quads(), rules=self.rules, soft_limit=self.soft_limit, default_graph_only=self.default_graph_only, api_key=self.api_key, base=self.base, prefixes=self.prefixes)
+        access = False if self.quads is None else self.access
+        return Engine(self.spark, {}, Dataset(self.spark, self.tables, self.quads).all_quads(), access=access, rules=self.rules, soft_limit=self.soft_limit, default_graph_only=self.default_graph_only, api_key=self.api_key, base=self.base, prefixes=self.prefixes)
 
     def update(self, text: str, **options) -> Engine:
         """The engine after an update, which works on quads; see quadloom.operators.update."""
