@@ -83,6 +83,12 @@ class Table:
         self.keys = keys[self.order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        # Most probes end in a direct-mapped table; only hashes whose slot holds several keys are searched for.
+        slot = self._slot(keys)
+        self.direct, self.own = np.full(1 << 20, -1, np.int32), keys
+        self.direct[slot] = np.arange(len(keys))
+        crowded = np.bincount(slot, minlength=1 << 20) > 1 if len(slot) else np.zeros(1 << 20, bool)
+        self.direct[crowded] = -2
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -100,7 +106,19 @@ class Table:
 
     def probe(self, hashes: np.ndarray, start: int, end: int) -> np.ndarray:
         """For each row the number of the piece that is its substring start:end, or -1. hashes: of prefixes()."""
-        h = hashes[end] - hashes[start] * self.power[end - start]
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == h, self.order[at], -1)
+        return self.find(hashes[end] - hashes[start] * self.power[end - start])
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h * X.U64(0x9E3779B97F4A7C15)) >> X.U64(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece of each hash, or -1."""
+        out = self.direct[self._slot(h)]
+        crowded = np.flatnonzero(out == -2)
+        out = np.where(self.own[out] == h, out, -1)
+        if len(crowded):
+            at = np.searchsorted(self.keys, h[crowded])
+            at[at == len(self.keys)] = 0
+            out[crowded] = np.where(self.keys[at] == h[crowded], self.order[at], -1)
+        return out

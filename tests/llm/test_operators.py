@@ -201,24 +201,16 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(model.forward([w])[0, 0], np.log(total(w)))
 
 
-def test_viterbi_brute_force():
-    own = sentencepiece_codec.Codec()
-
-    def best(w):
-        top = [(0.0, [])]
-        for end in range(1, len(w) + 1):
-            options = []
-            for start in range(max(0, end - own.table.longest), end):
-                k = own.number.get(w[start:end], -1)
-                if k >= 0 or start == end - 1:
-                    options.append((top[start][0] + (own.score[k] if k >= 0 else own.single), top[start][1] + [k]))
-            top.append(max(options, key=lambda o: o[0]))
-        return top[-1]
-
-    for w in ["▁thinking", "▁élégance", "▁x😀y", "▁Straßenbahn"]:
-        found = own.viterbi([w])[0]
-        score = sum(own.score[k] if k >= 0 else own.single for k in found)
-        assert np.isclose(score, best(w)[0]) and own.viterbi_one(w) == found
+def test_ids_equal_sentencepiece(texts):
+    import public_tokenizers
+    import sentencepiece
+
+    own, r = sentencepiece_codec.codec(), random.Random(5)
+    parts = ["a", "b ", " ", "  ", "\n", "the", "'s", "é", "1", "½", "!", "ing", " x", "😀", "in", "th", "er", "aa", "日本", "\t", "www", "...", "=="]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + ["aa" * k for k in range(60)] + ["=-" * k for k in range(200)] + list(texts.values())
+    flat, ends = own.encode(made)
+    reference = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == reference.encode(made)
 
 
 @given(st.text(max_size=40))
