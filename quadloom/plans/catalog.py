@@ -182,7 +182,7 @@ sparql("group_concat", 'SELECT ?r (GROUP_CONCAT(?n; SEPARATOR=", ") AS ?names) W
 sparql("having", "SELECT ?nation (COUNT(?c) AS ?n) WHERE { ?c customer:c_nationkey ?x . ?x nation:n_nationkey ?nation } GROUP BY ?nation HAVING(COUNT(?c) > 50)", "select c_nationkey nation, count(*) n from customer group by 1 having count(*)>50")
 sparql("group_multi", "SELECT ?f ?s (COUNT(*) AS ?n) WHERE { ?l lineitem:l_returnflag ?f ; lineitem:l_linestatus ?s } GROUP BY ?f ?s", "select l_returnflag f, l_linestatus s, count(*) n from lineitem group by 1,2")
 sparql("group_expr", "SELECT ?y (COUNT(?o) AS ?n) WHERE { ?o orders:o_orderdate ?d } GROUP BY (YEAR(?d) AS ?y)", "select year(o_orderdate) y, count(*) n from orders group by 1")
-sparql("agg_arith", "SELECT ?s (SUM(?k) / COUNT(?k) * 2 AS ?v) (COUNT(*) + 1 AS ?n) WHERE { ?o orders:o_orderstatus ?s ; orders:o_orderkey ?k BIND(1 AS ?one) } GROUP BY ?s ORDER BY ?s", None)
+sparql("agg_arith", "SELECT ?s (xsd:double(SUM(?k)) / COUNT(?k) * 2 AS ?v) (COUNT(*) + 1 AS ?n) WHERE { ?o orders:o_orderstatus ?s ; orders:o_orderkey ?k BIND(1 AS ?one) } GROUP BY ?s ORDER BY ?s", "select o_orderstatus s, sum(o_orderkey)::double/count(*)*2 v, count(*)+1 n from orders group by 1")
 sparql("distinct_group", "SELECT DISTINCT (MAX(?k) > 10 AS ?big) WHERE { ?c customer:c_nationkey ?x ; customer:c_custkey ?k } GROUP BY ?x", "select distinct max(c_custkey)>10 big from customer group by c_nationkey")
 sparql("order_limit", "SELECT ?k ?b WHERE { ?c customer:c_custkey ?k ; customer:c_acctbal ?b } ORDER BY DESC(?b) ?k LIMIT 20", "select c_custkey k, c_acctbal b from customer order by b desc, k limit 20")
 sparql("order_offset", "SELECT ?k ?p WHERE { ?o orders:o_orderkey ?k ; orders:o_totalprice ?p } ORDER BY DESC(?p) ?k LIMIT 10 OFFSET 5", "select o_orderkey k, o_totalprice p from orders order by p desc, k limit 10 offset 5")
@@ -232,7 +232,7 @@ sparql("quads_star_join", "SELECT (STR(?n) AS ?name) (STR(?r) AS ?region) WHERE
 sparql("quads_mixed_arith", "SELECT (STR(?k) AS ?key) (STR(?k + 1) AS ?next) (STR(ABS(?k - 3)) AS ?d) WHERE { ?x region:r_regionkey ?k FILTER(?k >= 1) }", "select cast(r_regionkey as varchar) as key, cast(r_regionkey+1 as varchar) as next, cast(abs(r_regionkey-3) as varchar) d from region where r_regionkey>=1", materialised=True)
 sparql("quads_optional_minus", 'SELECT (STR(?n) AS ?name) (STR(?z) AS ?big) WHERE { ?x nation:n_name ?n ; nation:n_nationkey ?k OPTIONAL { ?x nation:n_nationkey ?z FILTER(?z > 20) } MINUS { ?x nation:n_regionkey <urn:t/region/2> } }', "select n_name as name, case when n_nationkey>20 then cast(n_nationkey as varchar) end big from nation where n_regionkey<>2", materialised=True)
 sparql("quads_order_mixed", "SELECT (STR(?o) AS ?v) WHERE { <urn:t/nation/5> ?p ?o } ORDER BY ?o", "select unnest(['urn:t/nation', 'urn:t/region/'||n_regionkey, cast(n_nationkey as varchar), n_name]) v from nation where n_nationkey=5", materialised=True)
-sparql("quads_min_max_mixed", "SELECT (STR(MIN(?o)) AS ?lo) (STR(MAX(?o)) AS ?hi) (COUNT(?o) AS ?n) WHERE { ?s ?p ?o . ?s a t:region }", None, materialised=True)
+sparql("quads_min_max_mixed", "SELECT (STR(MIN(?o)) AS ?lo) (STR(MAX(?o)) AS ?hi) (COUNT(?o) AS ?n) WHERE { ?s ?p ?o . ?s a t:region }", "select 'urn:t/region' lo, cast(max(r_regionkey) as varchar) hi, 3*count(*) n from region", materialised=True)
 
 
 # Updates, on a materialised copy of a table
@@ -351,7 +351,7 @@ def write_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select n_name as name, n_nationkey k from nation")
-def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations written as lines, read again as N-Triples and queried."""
     from quadloom.sources import rdf
 
@@ -363,3 +363,43 @@ def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'default:' g, count(*)*3 n from region")
 def size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, {"region"}).size()
+
+
+@query("select n_name as name, 'urn:t/region/'||n_regionkey r from nation where n_nationkey<3")
+def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Turtle document at hand that refers to mapped rows, joined with the mapped tables."""
+    from quadloom.sources import rdf
+
+    own = engine(spark, sf_dir, {"nation"})
+    own.quads = rdf.from_text(spark, "@prefix n: <urn:t/nation/> . @prefix : <urn:x/> . n:0 a :Picked ; :note 'a', \"b\"@en . n:1 a :Picked . n:2 a :Picked . n:99 a :Picked .")
+    return own.select("PREFIX : <urn:x/> SELECT ?name ?r WHERE { ?n a :Picked . ?n nation:n_name ?name ; nation:n_regionkey ?r }")
+
+
+@query("select '<triple><uri>urn:t/region/'||r_regionkey||'</uri><uri>urn:t/region#r_name</uri><plainLiteral>'||r_name||'</plainLiteral></triple>' as value from region")
+def write_trix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    return rdf.trix_lines(_triples(spark, sf_dir, "region").quads.where(F.col("p") == "urn:t/region#r_name")).select("value")
+
+
+@query("""select '<rdf:Description rdf:about="urn:t/region/'||r_regionkey||'"><ns0:r_name xmlns:ns0="urn:t/region#">'||r_name||'</ns0:r_name></rdf:Description>' as value from region""")
+def write_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    return rdf.rdfxml_lines(_triples(spark, sf_dir, "region").quads.where(F.col("p") == "urn:t/region#r_name"))
+
+
+def _serialised(form: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = engine(spark, sf_dir, {"region"}).query("SELECT ?x ?k ?n WHERE { ?x region:r_regionkey ?j ; region:r_name ?n BIND(xsd:integer(?j) AS ?k) }")
+        return spark.createDataFrame([(line.rstrip("\r\n"),) for line in result.serialise(form)], "line string")
+
+    return run
+
+
+QUERIES["result_csv"], ORACLES["result_csv"] = _serialised("csv"), "select 'x,k,n' line union all select 'urn:t/region/'||r_regionkey||','||r_regionkey||','||r_name from region"
+QUERIES["result_tsv"], ORACLES["result_tsv"] = _serialised("tsv"), """select '?x'||chr(9)||'?k'||chr(9)||'?n' line union all select '<urn:t/region/'||r_regionkey||'>'||chr(9)||r_regionkey||chr(9)||'"'||r_name||'"' from region"""
+QUERIES["result_xml"], ORACLES["result_xml"] = (
+    lambda spark, sf_dir: _serialised("sparql")(spark, sf_dir).where("line like '<result>%'"),
+    """select '<result><binding name="x"><uri>urn:t/region/'||r_regionkey||'</uri></binding><binding name="k"><literal datatype="http://www.w3.org/2001/XMLSchema#integer">'||r_regionkey||'</literal></binding><binding name="n"><literal>'||r_name||'</literal></binding></result>' line from region""",
+)

@@ -100,6 +100,7 @@ class _Unit:
 
     triples: list[G.Triple]
     table: Table | None
+    near: Table | None = None  # the one mapped table that can hold the subject of an open predicate
 
     @property
     def vars(self) -> set[str]:
@@ -147,11 +148,13 @@ class QueryCompiler:
         stars: dict[tuple, _Unit] = {}
         out: list[_Unit] = []
         for t in triples:
-            table = self._table_of(t)
-            if table is None and (isinstance(t.p, R.Var) or t.p == R.IRI(R.RDF_TYPE)):
-                table = known.get(t.s)
+            table, near = self._table_of(t), None
+            if table is None and (isinstance(t.p, R.Var) or (t.p == R.IRI(R.RDF_TYPE) and isinstance(t.o, R.Var))):
+                near = known.get(t.s)
+                if self.data.quads is None:
+                    table = near
             if table is None:
-                out.append(_Unit([t], None))
+                out.append(_Unit([t], None, near))
             elif not self.on("R1"):
                 out.append(_Unit([t], table))
             elif (t.s, table.name) in stars:
@@ -185,7 +188,8 @@ class QueryCompiler:
         else:
             t = u.triples[0]
             quads = self.data.visible_quads()
-            mapped = [x for x in self.data.tables.values()] if isinstance(t.p, R.Var) or t.p == R.IRI(R.RDF_TYPE) else []
+            open_ = isinstance(t.p, R.Var) or (t.p == R.IRI(R.RDF_TYPE) and isinstance(t.o, R.Var))
+            mapped = ([u.near] if u.near else list(self.data.tables.values())) if open_ else []
             own = quads if quads is not None else self.data.spark.createDataFrame([], R.QUADS)
             rels = [scan_quads(own, t, graph, self.sources, self.data.default_only)] if quads is not None or not mapped else []
             rels += [x.scan(t.s, [(t.p, t.o)], graph, self.sources) for x in mapped]
