@@ -236,8 +236,7 @@ def _scan(model):
 
 def model_of(docs: DataFrame, most_docs: int = SAMPLE_DOCS):
     """Weights fitted on at most most_docs documents that hold an @ or a digit, picked by a hash."""
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text")).where(F.length("text") <= 20000)
-    return fitted([r.text for r in rows.orderBy("h", "text").limit(most_docs).collect()])
+    return fitted(X.hash_sample(docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20000)), most_docs))
 
 
 def scan(docs: DataFrame, model=None) -> DataFrame:
