@@ -306,9 +306,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD)
     own = nodes.select("k", "doc_id", "copies").join(joined.select(F.col("node").alias("k"), "root"), "k", "left").join(links, "k", "left")
     own = own.withColumn("root", F.coalesce("root", "k"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    own = own.join(least, "root").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    out = sketch.select("doc_id", "k").join(own, "k", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    own = own.join(least, "root").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("c"))
+    own = X.written(own, "classes")
+    rows = sketch.select("doc_id", "k")
+    known = X.join_counted(rows.where("k is not null"), own, ["k"], rows.count()).select("doc_id", "class_id", "n_links", F.col("c").alias("n_copies"))
+    one = rows.where("k is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return known.unionByName(one)
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -174,6 +174,18 @@ def crc_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, share: int = 10_000) -> DataFrame:
+    """rows joined with keyed on keys, where keyed holds each key once with its number of rows `c`, `total` in all.
+
+    Keys with more than a `share`-th of all rows, so fewer than `share` of them, are broadcast and their rows stay where they
+    are; only the others, none of which can crowd a task, are shuffled.
+    """
+    limit = max(1000, total // share)
+    hot = F.broadcast(keyed.where(F.col("c") > limit))
+    cold = keyed.where(F.col("c") <= limit)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges(a, b): node and its component's least node, for every node with an edge.
 
