@@ -32,7 +32,7 @@ LONGEST_WORD, LONGEST_PIECE = 32, 10
 #: Labelled documents of each language that the model is fitted on at most, and passes over them.
 SAMPLE_DOCS, PASSES = 500, 4
 SMOOTHING, UNKNOWN = 0.01, 1e-7
-MOST_CHUNKS, MOST_CHARACTERS = 400_000, 20_000_000
+MOST_CHUNKS, MOST_CHARACTERS = 250_000, 10_000_000
 UND = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -127,6 +127,7 @@ def fitted(texts: dict[str, list[str]], path: str | None = None, passes: int = P
 
 def model_of(docs: DataFrame, most_docs: int = SAMPLE_DOCS, path: str | None = None) -> Model:
     """Fitted on labelled documents whose crc32(doc_id) mod 4 is not 2, at most most_docs of each language, picked by a hash."""
+    X.bounded(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(X.crc_text("doc_id") % 4, F.lit(0)) != 2))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
     share = {r.lang: min(1.0, 1.3 * most_docs / r.c) for r in counts.collect()}  # one number for each language

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2_000_000
+BATCH_ROWS = 2000
 U64 = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -33,15 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Python workers get batches of at most BATCH_ROWS rows, so that long texts don't add up (a setting of the session)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read again. It survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -164,6 +174,7 @@ def chance(*columns: str) -> Column:
 
 def hash_sample(docs: DataFrame, most: int) -> list[str]:
     """About `most` texts at most of docs(doc_id, text), picked by hash: the driver gets no more, whatever the input."""
+    bounded(docs.sparkSession)
     n = docs.count()
     rows = docs.select("text", chance("doc_id", "text").alias("h")).where(F.col("h") < min(1.0, 1.2 * most / max(n, 1))).collect()
     return [r.text for r in sorted(rows, key=lambda r: (r.h, r.text))[:most]]

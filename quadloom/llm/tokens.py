@@ -16,7 +16,7 @@ import numpy as np
 
 from quadloom.llm import text as X
 
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 300_000
 SPECIAL = "<|endoftext|>"
 
 
