@@ -11,7 +11,8 @@ place) form a compacted path. Only paths are shuffled, about one for every nine
   the edges are rebuilt from its source coordinates in the text and counted one by one.
 
 Inside one path no two edges can be equal (the leftmost least k-mer stands at another distance in
-each), so counts are exact; equality is that of two 64-bit hashes (of the k-mer and of the path or
+each), so counts are exact, and equal paths of one document are counted before they are shuffled, so a text of one phrase over
+and over is a few rows; equality is that of two 64-bit hashes (of the k-mer and of the path or
 window). Every word of a repeated window is removed, in each place where it occurs.
 
 Defined cases: null, empty and short texts (under `window` words) have no window and keep all words;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quadloom.llm import text as X
 
 WINDOW, KMER = 35, 8
-_PATHS = "m long, s long, doc_id long, at int, n int"
+_PATHS = "m long, s long, doc_id long, at int, n int, c int"
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,15 +67,20 @@ def _paths(window: int, kmer: int):
                 n = np.diff(np.r_[head, len(at)])
                 start = at[head]
                 row = np.searchsorted(first, start, "right") - 1
+                path = roll.runs(start, start + n + window - 1)
+                # Equal paths of one document: the first stands for all, the others (c = 0) are repeats already.
+                _, one, back, times = np.unique(X.mix(path ^ X.mix(row.astype(X.U64) + X.U64(1))), return_index=True, return_inverse=True, return_counts=True)
+                c = np.where(one[back] == np.arange(len(row)), times[back], 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(low[place[head]].view(np.int64)),
-                        pa.array(roll.runs(start, start + n + window - 1).view(np.int64)),
+                        pa.array(path.view(np.int64)),
                         batch.column(0).take(pa.array(row)),
                         pa.array((start - first[row]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
+                        pa.array(c.astype(np.int32)),
                     ],
-                    names=["m", "s", "doc_id", "at", "n"],
+                    names=["m", "s", "doc_id", "at", "n", "c"],
                 )
 
     return run
@@ -109,10 +115,12 @@ def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
     """doc_id and spans array<struct<at, n>>: runs of n repeated windows from word `at`, one row per document with any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     paths = X.written(docs.mapInArrow(_paths(window, kmer), _PATHS), "paths")
-    nodes = paths.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
-    found = X.written(paths.join(nodes.select("m", (F.col("lo") != F.col("hi")).alias("branch")), "m"), "repeated")
+    repeats = paths.where("c <> 1").select("doc_id", "at", "n")
+    firsts = paths.where("c > 0")
+    nodes = firsts.groupBy("m").agg(F.sum("c").alias("t"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("t > 1")
+    found = X.written(firsts.join(nodes.select("m", (F.col("lo") != F.col("hi")).alias("branch")), "m"), "repeated")
     branching = found.where("branch")
-    kinds = branching.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at", "n")).alias("first"))
+    kinds = branching.groupBy("m", "s").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "at", "n")).alias("first"))
     rebuilt = kinds.select("first.doc_id", F.struct("m", "first.at", "first.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p"))
     rebuilt = docs.join(rebuilt.groupBy("doc_id").agg(F.collect_list("p").alias("p")), "doc_id")
     edges = X.written(rebuilt.mapInArrow(_edges(window), "m long, w long, doc_id long, at int, weight long"), "windows")
@@ -120,7 +128,7 @@ def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
     single = edges.where("weight = 1").join(hits.select("m", "w"), ["m", "w"]).select("doc_id", "at", F.lit(1).alias("n"))
     equal = kinds.where("c > 1").select("m", "s")
     whole = found.where("not branch").select("doc_id", "at", "n").union(branching.join(equal, ["m", "s"]).select("doc_id", "at", "n"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return whole.union(single).union(repeats).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def _covered(spans: pa.Array, first: np.ndarray, window: int) -> np.ndarray:
