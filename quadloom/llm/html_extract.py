@@ -54,8 +54,14 @@ class Node:
         self.parts: list[Node | str] = []
 
 
-def _boilerplate(value: str) -> bool:
-    return any(w in BOILERPLATE for w in _WORD.findall(_CAMEL.sub(" ", value).lower()))
+# Words that name a header, and words beside them that make it an article's own.
+HEADERS, OWN = frozenset(("header", "topbar")), frozenset("article post entry content story main".split())
+
+
+def _boilerplate(value: str, inside: bool) -> bool:
+    """Whether a class, id or role names boilerplate; headers are the article's own inside it or by name."""
+    words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+    return bool(words & BOILERPLATE) or (not inside and bool(words & HEADERS) and not words & OWN)
 
 
 class _Builder(HTMLParser):
@@ -79,14 +85,15 @@ class _Builder(HTMLParser):
         elif tag in CLOSES:
             self._close(CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")) - {tag})
         name, drop = "", tag in DROP
+        inside = any(n.tag in ("article", "main") for n in self.open)
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 if k == "class":
                     name = v.split()[0] if v.split() else ""
-                drop = drop or (_boilerplate(v) and tag not in ("html", "body", "article", "main"))
+                drop = drop or (_boilerplate(v, inside) and tag not in ("html", "body", "article", "main"))
             elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
                 drop = True
-        if tag == "header" and not any(n.tag in ("article", "main") for n in self.open):
+        if tag == "header" and not inside:
             drop = True
         node = Node(tag, name, drop)
         self.open[-1].parts.append(node)
