@@ -1,11 +1,11 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host come from few templates. A few different pages of each host (chosen by salted hashes, one for each
-of SAMPLES) are parsed to trees, runs of like siblings folded into one list node, and aligned by simple tree
-matching. Matched nodes whose text is the same in all pages are template; nodes whose text varies are slots. The wrapper of
-the host is the path to the least container that holds every varying slot outside boilerplate (an article or main
-element, where there is one). Each page is cut at its host's wrapper, or at the container its own text points to where
-the path is missing or the host has one page only.
+Pages of one host come from few templates. Every page of a host is parsed to a tree, like siblings folded into one node of
+a path, and the trees are matched by these paths. A path whose own text differs between pages, or which some pages lack, is a
+slot; other paths are template. Counts and least and greatest hashes of each path are added up over all pages of the host, so
+no page moves and a host of any size is judged by all of it. The wrapper of the host is the path to the least container that
+holds every slot outside boilerplate, or the article or main element on the way there. Each page is cut at its host's
+wrapper, or at the container its own text points to where the path is missing or the host has one page only.
 
 Inside the region, elements that are never article text (scripts, styles, forms, menus, asides, hidden ones, and those whose
 class, id or role names a menu, advert, notice, comment list or the like) are left out. Inline elements join their text,
@@ -18,6 +18,7 @@ each; other columns are ignored; empty tables give empty tables. Trees deeper th
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm import text as X
 
-SAMPLES, MOST_DEPTH, MOST_CHILDREN = 4, 200, 60
+MOST_DEPTH = 200
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -89,7 +90,7 @@ class _Builder(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 if k == "class":
-                    name = v.split()[0] if v.split() else ""
+                    name = v.split()[0].replace("/", "|") if v.split() else ""
                 drop = drop or (_boilerplate(v, inside) and tag not in ("html", "body", "article", "main"))
             elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
                 drop = True
@@ -158,101 +159,46 @@ def text_of(node: Node) -> str:
     return " ".join(blocks)
 
 
-class _Folded:
-    """A node whose like siblings are one: signature, own text, children."""
-
-    __slots__ = ("sign", "text", "children", "drop", "tag", "size")
-
-    def __init__(self, node: Node):
-        self.tag, self.drop = node.tag, node.drop
-        self.sign = (node.tag, node.name)
-        self.text = [p.strip() for p in node.parts if isinstance(p, str) and p.strip()]
-        self.children: list[_Folded] = []
-        if not node.drop:
-            for p in node.parts:
-                if isinstance(p, Node):
-                    self._add(_Folded(p))
-        self.size = 1 + sum(c.size for c in self.children)
-
-    def _add(self, c: _Folded) -> None:
-        if self.children and self.children[-1].sign == c.sign:
-            self.children[-1]._merge(c)
-        elif len(self.children) < MOST_CHILDREN:
-            self.children.append(c)
-        else:
-            self.children[-1].text += c.text
-
-    def _merge(self, other: _Folded) -> None:
-        self.text += other.text
-        for c in other.children:
-            for mine in self.children:
-                if mine.sign == c.sign:
-                    mine._merge(c)
-                    break
-            else:
-                self._add(c)
-        self.size = 1 + sum(c.size for c in self.children)
-
-
-def match(a: _Folded, b: _Folded, pairs: list | None = None) -> int:
-    """Simple tree matching: the size of the greatest order-keeping match of two trees with like roots; adds its pairs."""
-    if a.sign != b.sign:
-        return 0
-    n, m = len(a.children), len(b.children)
-    weight = [[0] * m for _ in range(n)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            if a.children[i].sign == b.children[j].sign:
-                weight[i][j] = match(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    if pairs is not None:
-        pairs.append((a, b))
-        i, j = n, m
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                match(a.children[i], b.children[j], pairs)
-    return best[n][m] + 1
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def induced(pages: list[str]) -> str | None:
-    """The wrapper of pages of one host: the path `tag.class/...` of its content region; None if nothing varies."""
-    trees = [_Folded(parsed(p)) for p in dict.fromkeys(p for p in pages if p)]
-    if len(trees) < 2:
-        return None
-    base, varies = trees[0], set()
-    for other in trees[1:]:
-        pairs: list = []
-        match(base, other, pairs)
-        varies |= {id(a) for a, b in pairs if a.text != b.text}
-
-    region: list[_Folded] = []
-
-    def slots(node: _Folded) -> int:
-        """Varying nodes under node, itself included, outside boilerplate."""
-        return 0 if node.drop else (id(node) in varies) + sum(slots(c) for c in node.children)
-
-    total = slots(base)
-    if not total:
-        return None
-    node = base
-    while True:
-        region.append(node)
-        if node.tag in ("article", "main"):
+def slots(root: Node) -> dict[str, int]:
+    """The paths `tag.class/.../` of a page that hold text of their own outside boilerplate, with a hash of it; the root always."""
+    own: dict[str, list[str]] = {"": []}
+    stack = [(root, "")]
+    while stack:
+        node, path = stack.pop()
+        for p in reversed(node.parts):
+            if isinstance(p, Node):
+                if not p.drop:
+                    stack.append((p, f"{path}{p.tag}.{p.name}/"))
+        text = [t for p in node.parts if isinstance(p, str) and (t := " ".join(p.split()))]
+        if text:
+            own.setdefault(path, []).extend(text)
+    return {path: _hash("\n".join(text)) for path, text in own.items()}
+
+
+def region(least: str, greatest: str) -> str:
+    """The wrapper of a host's slots, given the least and the greatest of their paths: what these share, all share."""
+    steps: list[str] = []
+    for a, b in zip(least.split("/")[:-1], greatest.split("/")[:-1], strict=False):
+        if a != b:
             break
-        inside = [c for c in node.children if slots(c)]
-        named = [c for c in inside if c.tag in ("article", "main")]
-        if len(named) == 1:
-            inside = named
-        if len(inside) != 1 or inside[0].tag not in CONTAINERS or id(node) in varies:
+        steps.append(a)
+        if a.partition(".")[0] in ("article", "main"):
             break
-        node = inside[0]
-    return "/".join(f"{n.sign[0]}.{n.sign[1]}" for n in region[1:])
+    while steps and steps[-1].partition(".")[0] not in CONTAINERS | {"main"}:
+        steps.pop()
+    return "/".join(steps)
+
+
+def induced(pages: list[str]) -> str | None:
+    """The wrapper of pages of one host: the path `tag.class/...` of its content region; None if nothing varies."""
+    found = [slots(parsed(p)) for p in pages if p]
+    paths = sorted({path for f in found for path in f})
+    varies = [path for path in paths if len({f.get(path) for f in found}) > 1]
+    return region(min(varies), max(varies)) if varies else None
 
 
 def _at(root: Node, path: str) -> list[Node]:
@@ -291,9 +237,21 @@ def extracted(html: str, wrapper: str | None) -> str:
     return " ".join(t for t in map(text_of, mains) if t)
 
 
-def _induce(batches):
+def _statistics(batches):
+    """For each host and path of a batch: pages with the path, the least and the greatest hash of its text."""
+    for batch in batches:
+        found: dict[tuple[str, str], list[int]] = {}
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, h in slots(parsed(html)).items():
+                have = found.setdefault((host, path), [0, h, h])
+                have[0], have[1], have[2] = have[0] + 1, min(have[1], h), max(have[2], h)
+        columns = [pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "n", "low", "high"])
+
+
+def _regions(batches):
     for batch in batches:
-        found = [induced(p or []) for p in batch.column(1).to_pylist()]
+        found = [None if a is None else region(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "wrapper"])
 
 
@@ -309,20 +267,22 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """host and wrapper: induced from at most `samples` different pages of each host."""
-    own = pages.where("html is not null").select(host_of("url").alias("host"), "html", F.xxhash64("html").alias("h"))
-    # Hashes first: the aggregate holds a few numbers for each host, and only the chosen pages move.
-    least = own.groupBy("host").agg(*(F.min(F.struct(F.xxhash64("h", F.lit(i)), "h")).getField("h").alias(f"h{i}") for i in range(samples)))
-    marks = least.select("host", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(samples))))).alias("h"))
-    chosen = own.join(marks, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
-    return chosen.groupBy("host").agg(F.sort_array(F.collect_set("html")).alias("pages")).mapInArrow(_induce, "host string, wrapper string")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper: induced from all pages of each host."""
+    own = pages.where("html <> ''").select(host_of("url").alias("host"), "html")
+    found = own.mapInArrow(_statistics, "host string, path string, n long, low long, high long")
+    found = found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = X.written(found, "paths")
+    # Every page has the root's path, so the greatest count is the host's number of pages.
+    hosts = found.groupBy("host").agg(F.max("n").alias("pages"), F.count(F.lit(1)).alias("c"))
+    varies = X.join_counted(found, hosts, ["host"], found.count()).where("n < pages or low <> high")
+    return varies.groupBy("host").agg(F.min("path").alias("least"), F.max("path").alias("greatest")).mapInArrow(_regions, "host string, wrapper string")
 
 
-def extraction(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages(page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = X.written(wrappers(pages, samples), "wrappers")
+    found = X.written(wrappers(pages), "wrappers")
     joined = pages.withColumn("host", host_of("url")).join(found, "host", "left").select("page_id", "url", "html", "wrapper")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
