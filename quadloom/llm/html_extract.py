@@ -7,6 +7,11 @@ no page moves and a host of any size is judged by all of it. The wrapper of the
 holds every slot outside boilerplate, or the article or main element on the way there. Each page is cut at its host's
 wrapper, or at the container its own text points to where the path is missing or the host has one page only.
 
+The wrapper also holds the constant blocks: block elements whose path and whole text are the same on every page of a host
+with at least MANY different pages. They are left out inside the region too, where they are less than half of its text;
+where they are more, the pages are taken for copies of one text and nothing is left out. Constant headings stay, as part of
+the text below them, unless a constant block holds them.
+
 Inside the region, elements that are never article text (scripts, styles, forms, menus, asides, hidden ones, and those whose
 class, id or role names a menu, advert, notice, comment list or the like) are left out. Inline elements join their text,
 block elements and line breaks part it.
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from quadloom.llm import text as X
 
 MOST_DEPTH = 200
+#: Different pages of a host from which a block that all of them have is template.
+MANY = 8
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,13 +55,17 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "name", "drop", "parts")
+    """An element; constant: all pages of the host have it with the same text."""
+
+    __slots__ = ("tag", "name", "drop", "parts", "constant")
 
     def __init__(self, tag: str, name: str = "", drop: bool = False):
         self.tag, self.name, self.drop = tag, name, drop
         self.parts: list[Node | str] = []
+        self.constant = False
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words that name a header, and words beside them that make it an article's own.
 HEADERS, OWN = frozenset(("header", "topbar")), frozenset("article post entry content story main".split())
 
@@ -127,8 +138,8 @@ def parsed(html: str) -> Node:
     return b.root
 
 
-def text_of(node: Node) -> str:
-    """The blocks under a node, each with single spaces, joined by one space."""
+def text_of(node: Node, whole: bool = True) -> str:
+    """The blocks under a node, each with single spaces, joined by one space; constant ones only of the whole text."""
     blocks: list[str] = []
     now: list[str] = []
 
@@ -150,7 +161,7 @@ def text_of(node: Node) -> str:
             now.append(part)
         elif part.tag in ("br", "hr"):
             now.append(" ")
-        elif not part.drop and part.tag not in VOID:
+        elif not part.drop and part.tag not in VOID and (whole or not part.constant):
             block = part.tag not in INLINE
             if block:
                 flush()
@@ -179,6 +190,26 @@ def slots(root: Node) -> dict[str, int]:
     return {path: _hash("\n".join(text)) for path, text in own.items()}
 
 
+def blocks(root: Node) -> list[tuple[Node, int]]:
+    """The block elements of a page that hold text outside boilerplate, with a hash of path and whole text; no headings."""
+    found: list[tuple[Node, int]] = []
+
+    def visit(node: Node, path: str) -> str:
+        texts = []
+        for p in node.parts:
+            if isinstance(p, str):
+                texts.append(p)
+            elif not p.drop:
+                texts.append(visit(p, f"{path}{p.tag}.{p.name}/"))
+        text = " ".join(" ".join(texts).split())
+        if text and node.tag not in INLINE and node.tag not in HEADINGS and node.tag not in ("#root", "html", "body", "article", "main"):
+            found.append((node, _hash(path + "\n" + text)))
+        return text
+
+    visit(root, "")
+    return found
+
+
 def region(least: str, greatest: str) -> str:
     """The wrapper of a host's slots, given the least and the greatest of their paths: what these share, all share."""
     steps: list[str] = []
@@ -225,40 +256,58 @@ def _own_region(root: Node) -> list[Node]:
     return found or [root]
 
 
-def extracted(html: str, wrapper: str | None) -> str:
-    """The main text of a page under its host's wrapper."""
+def extracted(html: str, wrapper: str | None, constants: frozenset[int] = frozenset()) -> str:
+    """The main text of a page under its host's wrapper and constant blocks."""
     if not html:
         return ""
     root = parsed(html)
+    if constants:
+        for node, key in blocks(root):
+            node.constant = key in constants
     region = _at(root, wrapper) if wrapper is not None else []
     if not region or wrapper == "":
         region = _own_region(root)
     mains = [n for top in region for n in (_own_region(top) if top.tag not in ("article", "main") else [top])]
-    return " ".join(t for t in map(text_of, mains) if t)
+    text = " ".join(t for t in map(text_of, mains) if t)
+    if constants:
+        slots_only = " ".join(t for n in mains if not n.constant and (t := text_of(n, False)))
+        if 2 * len(slots_only) > len(text):
+            return slots_only
+    return text
 
 
 def _statistics(batches):
-    """For each host and path of a batch: pages with the path, the least and the greatest hash of its text."""
+    """For each host and path of a batch: pages with the path, the least and the greatest hash of its text. For each host and
+    block that all its pages of the batch have (only these can be constant): the block's key and the number of these pages."""
     for batch in batches:
         found: dict[tuple[str, str], list[int]] = {}
+        common: dict[str, set[int]] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for path, h in slots(parsed(html)).items():
+            root = parsed(html)
+            for path, h in slots(root).items():
                 have = found.setdefault((host, path), [0, h, h])
                 have[0], have[1], have[2] = have[0] + 1, min(have[1], h), max(have[2], h)
-        columns = [pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "n", "low", "high"])
+            if common.get(host, True):
+                keys = {key for _, key in blocks(root)}
+                common[host] = common[host] & keys if host in common else keys
+        rows = [(host, path, None, *have) for (host, path), have in found.items()]
+        rows += [(host, None, key, found[host, ""][0], 0, 0) for host, keys in common.items() for key in keys]
+        names = ["host", "path", "block", "n", "low", "high"]
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
 def _regions(batches):
     for batch in batches:
         found = [None if a is None else region(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(3)], names=["host", "wrapper", "constants"])
 
 
 def _extract(batches):
     for whole in batches:
         for batch in X.slices(whole, "html"):
-            texts = [extracted(h or "", w) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            sets = [frozenset(c or ()) for c in batch.column(4).to_pylist()]
+            texts = [extracted(h or "", w, c) for h, w, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sets, strict=True)]
             n = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n)], names=["page_id", "url", "text", "n_chars"])
 
@@ -268,22 +317,27 @@ def host_of(url: str) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper: induced from all pages of each host."""
+    """host, wrapper and keys of the constant blocks: induced from all pages of each host."""
     own = pages.where("html <> ''").select(host_of("url").alias("host"), "html")
-    found = own.mapInArrow(_statistics, "host string, path string, n long, low long, high long")
-    found = found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = own.mapInArrow(_statistics, "host string, path string, block long, n long, low long, high long")
+    found = found.groupBy("host", "path", "block").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     found = X.written(found, "paths")
     # Every page has the root's path, so the greatest count is the host's number of pages.
     hosts = found.groupBy("host").agg(F.max("n").alias("pages"), F.count(F.lit(1)).alias("c"))
-    varies = X.join_counted(found, hosts, ["host"], found.count()).where("n < pages or low <> high")
-    return varies.groupBy("host").agg(F.min("path").alias("least"), F.max("path").alias("greatest")).mapInArrow(_regions, "host string, wrapper string")
+    different = own.select("host", F.xxhash64("html").alias("h")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("different"))
+    hosts = X.written(hosts.join(different, "host"), "hosts")
+    known = X.join_counted(found, hosts, ["host"], found.count())
+    # A block of all pages is one of any page: the list of a host is no longer than a page.
+    told = known.where(F.when(F.col("block").isNull(), F.expr("n < pages or low <> high")).otherwise(F.expr(f"n = pages and different >= {MANY}")))
+    told = told.groupBy("host").agg(F.min("path").alias("least"), F.max("path").alias("greatest"), F.collect_list("block").alias("constants"))
+    return told.mapInArrow(_regions, "host string, wrapper string, constants array<long>")
 
 
 def extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of pages(page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     found = X.written(wrappers(pages), "wrappers")
-    joined = pages.withColumn("host", host_of("url")).join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = pages.withColumn("host", host_of("url")).join(found, "host", "left").select("page_id", "url", "html", "wrapper", "constants")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -19,3 +19,13 @@ def test_an_optional_section_is_kept(spark):
 def test_children_past_sixty_are_kept(spark):
     pages = ["<html><body>" + "".join(f'<div class="c{k}"><p>{k} {i if k in (2, 70) else ""}</p></div>' for k in range(80)) + "</body></html>" for i in range(3)]
     assert "70 2" in extracted(spark, pages)[2]
+
+
+def test_constant_blocks_are_left_out(spark):
+    box = '<div class="box"><h3>Our app</h3><p>Get it today.</p></div>'
+    pages = [f"<html><body><article><h1>Title {i}</h1><h2>Method</h2><p>{' '.join(f'word{i}x{k}' for k in range(20))}</p>{box}</article></body></html>" for i in range(20)]
+    got = extracted(spark, pages)
+    assert all("app" not in t and "today" not in t for t in got.values())
+    assert got[3] == "Title 3 Method " + " ".join(f"word3x{k}" for k in range(20))  # a constant heading stays
+    copies = [f"<html><body><article><h1>One text</h1><p>{'the same words ' * 20}</p><p>seen {i}</p></article></body></html>" for i in range(20)]
+    assert all(t.startswith("One text the same") for t in extracted(spark, copies).values())
