@@ -13,7 +13,10 @@ where they are more, the pages are taken for copies of one text and nothing is l
 the text below them, unless a constant block holds them.
 
 Inside the region, elements that are never article text (scripts, styles, forms, menus, asides, hidden ones, and those whose
-class, id or role names a menu, advert, notice, comment list or the like) are left out. Inline elements join their text,
+class, id or role names a menu, advert, notice, comment list or the like) are left out. A class or id names one where a whole
+token of it does ("site-footer", not "with-sidebar"); ids of headings and paragraphs name nothing. Where the element holds
+more than half of the page's text outside other boilerplate, its name counts only if half of that text is in links or the
+element is a constant block. Inline elements join their text,
 block elements and line breaks part it.
 
 Defined cases: null and empty pages give an empty text; pages without markup are one text; broken nesting is closed as
@@ -50,30 +53,39 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs footer masthead "
     "comment comments disqus respond replies share sharing social related recommended newsletter subscribe signup login search popup modal overlay toolbar pagination pager skip complementary contentinfo".split()
 )
-_WORD = re.compile(r"[a-z]+")
+# Words beside those that leave them boilerplate.
+NEUTRAL = frozenset(
+    "site page global main primary secondary top bottom left right inner outer wrapper wrap container holder block box area bar section region list item items link links button buttons icon icons "
+    "form panel body text title post posts article articles entry blog story stories count media this slot unit google wp js".split()
+)
+_WORD = re.compile(r"[a-z]{2,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """An element; constant: all pages of the host have it with the same text."""
+    """An element; called: its class, id or role names boilerplate; constant: all pages of the host have it with the same text."""
 
-    __slots__ = ("tag", "name", "drop", "parts", "constant")
+    __slots__ = ("tag", "name", "drop", "parts", "called", "constant")
 
     def __init__(self, tag: str, name: str = "", drop: bool = False):
         self.tag, self.name, self.drop = tag, name, drop
         self.parts: list[Node | str] = []
-        self.constant = False
+        self.called = self.constant = False
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLED = HEADINGS | {"p"}
 # Words that name a header, and words beside them that make it an article's own.
 HEADERS, OWN = frozenset(("header", "topbar")), frozenset("article post entry content story main".split())
 
 
 def _boilerplate(value: str, inside: bool) -> bool:
     """Whether a class, id or role names boilerplate; headers are the article's own inside it or by name."""
-    words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-    return bool(words & BOILERPLATE) or (not inside and bool(words & HEADERS) and not words & OWN)
+    tokens = [set(_WORD.findall(_CAMEL.sub(" ", t).lower())) for t in value.split()]
+    if any(words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL for words in tokens):
+        return True
+    words = set().union(*tokens)
+    return not inside and not words & OWN and any(w & HEADERS and w <= HEADERS | BOILERPLATE | NEUTRAL for w in tokens)
 
 
 class _Builder(HTMLParser):
@@ -96,18 +108,19 @@ class _Builder(HTMLParser):
             self._close(("p",), SCOPE)
         elif tag in CLOSES:
             self._close(CLOSES[tag], frozenset(("table", "ul", "ol", "dl", "select")) - {tag})
-        name, drop = "", tag in DROP
+        name, drop, called = "", tag in DROP, False
         inside = any(n.tag in ("article", "main") for n in self.open)
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
                 if k == "class":
                     name = v.split()[0].replace("/", "|") if v.split() else ""
-                drop = drop or (_boilerplate(v, inside) and tag not in ("html", "body", "article", "main"))
+                called = called or (_boilerplate(v, inside) and tag not in ("html", "body", "article", "main") and not (k == "id" and tag in TITLED))
             elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
                 drop = True
         if tag == "header" and not inside:
             drop = True
         node = Node(tag, name, drop)
+        node.called = called
         self.open[-1].parts.append(node)
         if tag not in VOID and len(self.open) < MOST_DEPTH:
             self.open.append(node)
@@ -135,9 +148,39 @@ def parsed(html: str) -> Node:
     b = _Builder()
     b.feed(html)
     b.close()
+    _settle(b.root)
     return b.root
 
 
+def _settle(root: Node) -> None:
+    """Drops the elements called boilerplate, but those that hold most of the page's text and not as links."""
+    sizes: dict[int, tuple[int, int]] = {}
+
+    def visit(node: Node, linked: bool) -> tuple[int, int]:
+        """Letters and signs under node outside dropped elements, and those in links."""
+        n = in_links = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                m = len("".join(p.split()))
+                n, in_links = n + m, in_links + (m if linked else 0)
+            elif not p.drop:
+                m, l = visit(p, linked or p.tag == "a")
+                n, in_links = n + m, in_links + l
+        if node.called:
+            sizes[id(node)] = n, in_links
+        return n, in_links
+
+    total = visit(root, False)[0]
+    stack = [root]
+    while stack and sizes:
+        node = stack.pop()
+        if node.called and not node.drop:
+            n, in_links = sizes[id(node)]
+            node.drop = 2 * n <= total or 2 * in_links >= n
+        if not node.drop:
+            stack.extend(p for p in node.parts if isinstance(p, Node))
+
+
 def text_of(node: Node, whole: bool = True) -> str:
     """The blocks under a node, each with single spaces, joined by one space; constant ones only of the whole text."""
     blocks: list[str] = []
@@ -264,6 +307,7 @@ def extracted(html: str, wrapper: str | None, constants: frozenset[int] = frozen
     if constants:
         for node, key in blocks(root):
             node.constant = key in constants
+            node.drop = node.constant and node.called
     region = _at(root, wrapper) if wrapper is not None else []
     if not region or wrapper == "":
         region = _own_region(root)

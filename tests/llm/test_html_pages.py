@@ -29,3 +29,16 @@ def test_constant_blocks_are_left_out(spark):
     assert got[3] == "Title 3 Method " + " ".join(f"word3x{k}" for k in range(20))  # a constant heading stays
     copies = [f"<html><body><article><h1>One text</h1><p>{'the same words ' * 20}</p><p>seen {i}</p></article></body></html>" for i in range(20)]
     assert all(t.startswith("One text the same") for t in extracted(spark, copies).values())
+
+
+def test_names_that_only_hold_a_word_of_boilerplate():
+    words = " ".join(f"word{k}" for k in range(40))
+    for name in ('class="content with-sidebar"', 'class="post no-comments"', 'class="sidebar"'):
+        page = f"<html><body><div {name}><h2>Title</h2><p>{words}</p></div></body></html>"
+        assert html_extract.extracted(page, None) == f"Title {words}"
+    for slug in ("related-work", "social-history", "search-methods", "sharing-data", "search"):
+        page = f'<html><body><article><h2 id="{slug}">Kept</h2><p id="{slug}">and this</p><p>{words}</p></article></body></html>'
+        assert html_extract.extracted(page, None) == f"Kept and this {words}"
+    for name in ('class="post-comments"', 'id="cookie-notice"', 'class="x widget-2"', 'class="relatedPosts"', 'role="search"'):
+        assert html_extract.extracted(f"<body><article><p>{words}</p><div {name}>few words</div></article></body>", None) == words
+    assert html_extract.extracted(f'<body><p>text</p><div class="menu"><a href="/">{words}</a></div></body>', None) == "text"
