@@ -23,7 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least doc_id."""
+    """One document of each class of near duplicates stays, the one with the least doc_id (rows without one, or that share one, are told by row keys)."""
     return ngram_join.representatives(docs)
 
 

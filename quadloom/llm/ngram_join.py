@@ -11,10 +11,14 @@ similarity from the signatures joins nodes into candidate clusters, and inside e
 verified exactly on the shingle sets by a matrix product. What leaves a task is, for each node, its number of links and
 one edge towards the root of its component there: links are counted, never listed.
 
+Each row gets a key of its own, written with it, so rows are told apart whatever their doc_id.
+
 Defined cases: null and empty texts have no shingle, no link and a class of their own; texts of fewer words than a
 shingle are one shingle; repeated rows and equal sets share a node and link to each other; columns other than doc_id and
-text are ignored (classes) or kept (representatives); the class id is the least doc_id of the component; empty
-tables give empty tables.
+text are ignored (classes) or kept (representatives); the class id is the least doc_id of the component, null if it has
+none; the representative of a class is its row with the least doc_id (null after all others), of these the one with the
+least row key, so rows with a null doc_id or a doc_id that other rows share stay where their texts differ; empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -87,11 +91,12 @@ def _sketch(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
+                        batch.column(2),
                         pa.array(key, mask=np.diff(offsets) == 0),
                         pa.array([s.tobytes() for s in signature], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * batch.num_rows + 1, TREES, dtype=np.int32)), tree),
                     ],
-                    names=["doc_id", "k", "signature", "trees"],
+                    names=["doc_id", "row", "k", "signature", "trees"],
                 )
 
     return run
@@ -274,11 +279,12 @@ def _sorted_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies: one row for each row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = X.written(docs.mapInArrow(_sketch(size), f"doc_id long, k long, signature binary, trees array<struct<{_TREE.replace(' long', ':long')}>>"), "sketch")
-    nodes = X.written(sketch.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "nodes")
+def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of docs(doc_id, text, row): doc_id, row and node k of each row; and for each node k its class_id, the row
+    that represents its class, n_links and copies c."""
+    sketch = X.written(docs.select("doc_id", "text", "row").mapInArrow(_sketch(size), f"doc_id long, row long, k long, signature binary, trees array<struct<{_TREE.replace(' long', ':long')}>>"), "sketch")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = X.written(sketch.where("k is not null").groupBy("k").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "nodes")
 
     rows = nodes.select("k", F.explode("trees").alias("t")).select("k", "t.*")
     buckets = None
@@ -295,30 +301,37 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD)
 
     clusters = X.written(near.select(F.col("node").alias("k"), F.col("root").alias("g")), "clusters")
     sizes = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    members = clusters.join(sizes, "g").join(nodes.select("k", "doc_id", "copies"), "k")
-    sets = members.join(docs, "doc_id").select("text", "k", "g", "m", "copies")
+    members = clusters.join(sizes, "g").join(nodes.select("k", "first.row", "copies"), "k")
+    sets = members.join(docs.select("row", "text"), "row").select("text", "k", "g", "m", "copies")
     sets = sets.mapInArrow(_sets(size), "k long, g long, m long, copies long, shingles binary").dropDuplicates(["k"])
     dealt = _sorted_by(_dealt(sets, "m").select("g", "i", "j", "k", "block", "copies", "shingles"), "g", "i", "j")
     verified = X.written(dealt.mapInArrow(_verified(threshold), "k long, links long, root long"), "verified")
 
     joined = X.components(verified.select(F.col("k").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("k").agg(F.sum("links").alias("links"))
-    own = nodes.select("k", "doc_id", "copies").join(joined.select(F.col("node").alias("k"), "root"), "k", "left").join(links, "k", "left")
+    own = nodes.select("k", "first", "copies").join(joined.select(F.col("node").alias("k"), "root"), "k", "left").join(links, "k", "left")
     own = own.withColumn("root", F.coalesce("root", "k"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    own = own.join(least, "root").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("c"))
-    own = X.written(own, "classes")
-    rows = sketch.select("doc_id", "k")
-    known = X.join_counted(rows.where("k is not null"), own, ["k"], rows.count()).select("doc_id", "class_id", "n_links", F.col("c").alias("n_copies"))
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    own = own.join(least, "root").select("k", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("c"))
+    return sketch.select("doc_id", "row", "k"), X.written(own, "classes")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row for each row of docs(doc_id, text)."""
+    docs, _ = X.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows, own = _joined(docs, size, threshold)
+    rows = rows.drop("row")
+    known = X.join_counted(rows.where("k is not null"), own.drop("row"), ["k"], rows.count()).select("doc_id", "class_id", "n_links", F.col("c").alias("n_copies"))
     one = rows.where("k is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return known.unionByName(one)
 
 
 def representatives(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with the least doc_id of their class, one row each; all columns kept."""
-    found = classes(docs, size, threshold)
-    kept = found.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each class, the one with the least doc_id, then row key; all columns kept."""
+    docs, row = X.keyed(docs)
+    rows, own = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row")), size, threshold)
+    kept = own.select("row").distinct().unionByName(rows.where("k is null").select("row"))
+    return docs.join(kept.withColumnRenamed("row", row), row, "left_semi").drop(row)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ and over is a few rows; equality is that of two 64-bit hashes (of the k-mer and
 window). Every word of a repeated window is removed, in each place where it occurs.
 
 Defined cases: null, empty and short texts (under `window` words) have no window and keep all words;
-repeated rows of one doc_id count as different places and each get the removals of that doc_id; columns besides
-doc_id and text are ignored (duplicates()) or carried unchanged (deduplicated()); empty tables give empty tables.
+repeated rows of one doc_id count as different places and each get the removals of that doc_id (duplicates(),
+deduplicated()) or, told by written row keys, its own (cleaned()); columns besides doc_id and text are ignored
+(duplicates()) or carried unchanged (cleaned()); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -195,9 +196,11 @@ def _clean(window: int, text_at: int):
 
 def cleaned(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """docs without the repeated passages; rows of which nothing is left go, texts without any stay as they are."""
-    spans = duplicates(docs, window, kmer).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").select(*(docs[c] for c in docs.columns), "_spans")
-    return joined.mapInArrow(_clean(window, docs.columns.index("text")), docs.schema)
+    columns, schema = docs.columns, docs.schema
+    docs, row = X.keyed(docs)
+    spans = duplicates(docs.select(F.col(row).alias("doc_id"), "text"), window, kmer).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    joined = docs.join(spans, F.col(row) == F.col("_id"), "left").select(*(docs[c] for c in columns), "_spans")
+    return joined.mapInArrow(_clean(window, columns.index("text")), schema)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

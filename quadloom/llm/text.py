@@ -50,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, written so that it stays, and the name of that column."""
+    row = "row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
