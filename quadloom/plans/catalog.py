@@ -207,6 +207,7 @@ sparql("fn_starts_ends_contains", 'SELECT ?k (STRSTARTS(?n, "Cust") AS ?a) (STRE
 sparql("fn_concat", 'SELECT ?k (CONCAT(?n, "/", ?s) AS ?x) WHERE { ?x customer:c_custkey ?k ; customer:c_name ?n ; customer:c_mktsegment ?s }', "select c_custkey k, c_name||'/'||c_mktsegment x from customer")
 sparql("fn_strlen", "SELECT ?id (STRLEN(?t) AS ?n) WHERE { ?d documents:doc_id ?id ; documents:text ?t }", "select doc_id id, length(text) n from documents")
 sparql("fn_encode_uri", "SELECT ?id (ENCODE_FOR_URI(SUBSTR(?t, 1, 40)) AS ?e) WHERE { ?b benchmark:item_id ?id ; benchmark:text ?t }", "select item_id id, url_encode(substr(text,1,40)) e from benchmark")
+sparql("fn_encode_uri_whole", "SELECT ?id (ENCODE_FOR_URI(?t) AS ?e) WHERE { ?b benchmark:item_id ?id ; benchmark:text ?t }", "select item_id id, url_encode(text) e from benchmark")
 sparql("fn_hashes", "SELECT ?k (MD5(?n) AS ?a) (SHA256(?n) AS ?b) (SHA1(?n) AS ?c) WHERE { ?x customer:c_custkey ?k ; customer:c_name ?n }", "select c_custkey k, md5(c_name) a, sha256(c_name) b, sha1(c_name) c from customer")
 sparql("fn_dates", "SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?a) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?i) (SECONDS(?d) AS ?s) WHERE { ?e events:event_id ?k ; events:ts ?d }", "select event_id k, year(ts) y, month(ts) m, day(ts) a, hour(ts) h, minute(ts) i, second(ts) s from events")
 sparql("fn_date_compare", 'SELECT ?k WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d FILTER(?d < "1995-01-01T00:00:00"^^xsd:dateTime) }', "select o_orderkey k from orders where o_orderdate<timestamp '1995-01-01'")
