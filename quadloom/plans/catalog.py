@@ -310,9 +310,9 @@ def ft_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ft_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.functions.fulltext import stems, tokens
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'")
-    words = docs.select(F.explode(tokens(F.lower("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    return words.groupBy(stems(F.col("t")).alias("stem")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("words"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select("lang", F.explode(tokens(F.lower("text"))).alias("t")).groupBy("lang", "t").agg(F.count(F.lit(1)).alias("c"))
+    return words.groupBy("lang", stems(F.col("t"), F.col("lang")).alias("stem")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("words"))
 
 
 @query()
@@ -390,6 +390,36 @@ def write_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf.rdfxml_lines(_triples(spark, sf_dir, "region").quads.where(F.col("p") == "urn:t/region#r_name"))
 
 
+@query(
+    """select unnest(['<urn:t/region/'||r_regionkey||'> <urn:t/region#r_regionkey> "'||r_regionkey||'"^^<http://www.w3.org/2001/XMLSchema#int> .', '<urn:t/region/'||r_regionkey||'> <urn:t/region#r_name> "'||r_name||'" .',
+       '<urn:t/region/'||r_regionkey||'> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:t/region> .']) as value from region"""
+)
+def write_ntriples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    return rdf.lines(_triples(spark, sf_dir, "region").quads)
+
+
+@query(
+    """select '<triple><uri>urn:t/region/'||r_regionkey||'</uri>'||unnest(['<uri>urn:t/region#r_regionkey</uri><typedLiteral datatype="http://www.w3.org/2001/XMLSchema#int">'||r_regionkey||'</typedLiteral>',
+       '<uri>urn:t/region#r_name</uri><plainLiteral>'||r_name||'</plainLiteral>', '<uri>http://www.w3.org/1999/02/22-rdf-syntax-ns#type</uri><uri>urn:t/region</uri>'])||'</triple>' as value from region"""
+)
+def write_trix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    return rdf.trix_lines(_triples(spark, sf_dir, "region").quads).select("value")
+
+
+@query(
+    """select '<rdf:Description rdf:about="urn:t/region/'||r_regionkey||'">'||unnest(['<ns0:r_regionkey xmlns:ns0="urn:t/region#" rdf:datatype="http://www.w3.org/2001/XMLSchema#int">'||r_regionkey||'</ns0:r_regionkey>',
+       '<ns0:r_name xmlns:ns0="urn:t/region#">'||r_name||'</ns0:r_name>', '<ns0:type xmlns:ns0="http://www.w3.org/1999/02/22-rdf-syntax-ns#" rdf:resource="urn:t/region"/>'])||'</rdf:Description>' as value from region"""
+)
+def write_rdfxml_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadloom.sources import rdf
+
+    return rdf.rdfxml_lines(_triples(spark, sf_dir, "region").quads)
+
+
 def _serialised(form: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = engine(spark, sf_dir, {"region"}).query("SELECT ?x ?k ?n WHERE { ?x region:r_regionkey ?j ; region:r_name ?n BIND(xsd:integer(?j) AS ?k) }")
