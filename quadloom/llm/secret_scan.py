@@ -61,10 +61,10 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
 
 
 def labelled_samples(docs: DataFrame, most_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> list[tuple[str, int]]:
-    """Ordinary identifiers (words, and words joined by signs or capitals) of at most most_docs documents, picked by a hash, and seeded random strings."""
+    """Ordinary identifiers (all words, and words joined by signs or capitals) of at most most_docs documents, picked by a hash, and seeded random strings."""
     texts = X.hash_sample(docs.where("text is not null"), most_docs)
     seen = {w for t in texts for w in re.findall(r"[A-Za-z]{2,}", t) if len(w) < 25}
-    seen = sorted(seen)[:50000] or list(string.ascii_lowercase)
+    seen = sorted(seen) or list(string.ascii_lowercase)
     r = random.Random(11)
     joined = [r.choice("_-/").join(r.choices(seen, k=3)) + r.choice(("", "", "1", "_2", "2024")) for _ in range(len(seen) // 2)]
     camel = ["".join(w.title() for w in r.choices(seen, k=3)) for _ in range(len(seen) // 2)]
