@@ -3,35 +3,47 @@
 The edges of the de Bruijn graph are windows of `window` consecutive words, its nodes their overlaps
 of one word less. As in minimiser-partitioned compaction, every edge is assigned to the least hash
 among its inner k-mers; consecutive edges of one document with the same least k-mer (at the same
-place) form a compacted path. Only paths are shuffled, about one for every nine words:
+place) form a short path. Only paths are shuffled, about one for every nine words:
 
 * a k-mer that one path holds: nothing there repeats;
-* all paths of a k-mer equal: nonbranching, all their edges repeat;
+* all paths of a k-mer equal: all their edges repeat;
 * different paths of a k-mer: branching. Equal paths are counted together, and of each different one
   the edges are rebuilt from its source coordinates in the text and counted one by one.
 
+Repeated paths are then compacted through joins: each kind of path knows the kind before it in its documents, and
+where all places of a kind follow the same kind, which has as many places, the node between them does not branch and
+they are one longer path. What remains are maximal nonbranching repeated spans with source coordinates (row, word). Every
+place of every span is verified there: a cryptographic digest of the words read from the text has to be the same for all
+places of the span, and edges counted one by one carry such a digest too. Should two texts share a rolling hash, the
+verification finds it and the operator starts again with hashes of another base.
+
 Inside one path no two edges can be equal (the leftmost least k-mer stands at another distance in
-each), so counts are exact, and equal paths of one document are counted before they are shuffled, so a text of one phrase over
-and over is a few rows; equality is that of two 64-bit hashes (of the k-mer and of the path or
-window). Every word of a repeated window is removed, in each place where it occurs.
-
-Defined cases: null, empty and short texts (under `window` words) have no window and keep all words;
-repeated rows of one doc_id count as different places and each get the removals of that doc_id (duplicates(),
-deduplicated()) or, told by written row keys, its own (cleaned()); columns besides doc_id and text are ignored
-(duplicates()) or carried unchanged (cleaned()); empty tables give empty tables.
+each), so counts are exact; rows are counted before they are shuffled. Joins on k-mers are dealt
+so that a passage that fills a third of the table is no task of its own. Every word of a repeated window is removed, in each
+place where it occurs.
+
+Defined cases: null, empty and short texts (under `window` words) have no window and keep all words; very long texts are
+processed whole; rows are told apart by written row keys, so rows with a null doc_id or one that others share are places of
+their own and each loses its own passages; of equal passages none is preferred, all go; other columns are ignored
+(deduplicated()) or carried unchanged (cleaned()), whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm import text as X
 
 WINDOW, KMER = 35, 8
-_PATHS = "m long, s long, doc_id long, at int, n int, c int"
+#: Bases of the word hashes; the next one is taken where the verification finds two texts with one hash.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
+_PATHS = "m long, s long, before long, row long, at int, n int"
+_CHECKED = "m long, w long, digest long, row long, at int, weight int"
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,17 +57,17 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return p
 
 
-def _parsed(column: pa.Array):
+def _parsed(column: pa.Array, base: int):
     data, offsets = X.utf8(column)
     starts, ends, first = X.words(data, offsets)
-    return data, starts, ends, first, X.word_hashes(data, starts, ends)
+    return data, starts, ends, first, X.word_hashes(data, starts, ends, base)
 
 
-def _paths(window: int, kmer: int):
+def _paths(window: int, kmer: int, base: int):
     def run(batches):
         for whole in batches:
             for batch in X.slices(whole):
-                _, _, _, first, hashes = _parsed(batch.column(1))
+                _, _, _, first, hashes = _parsed(batch.column(1), base)
                 at = X.windows(first, window)
                 if not len(at):
                     continue
@@ -63,73 +75,109 @@ def _paths(window: int, kmer: int):
                 k = np.arange(len(hashes) - kmer + 1)
                 low = roll.runs(k, k + kmer)
                 place = _leftmost_least(low, window - kmer + 1)[at]
-                new = np.r_[True, (np.diff(at) != 1) | (np.diff(place) != 0)]
-                head = np.flatnonzero(new)
+                gap = np.diff(at) != 1
+                head = np.flatnonzero(np.r_[True, gap | (np.diff(place) != 0)])
                 n = np.diff(np.r_[head, len(at)])
                 start = at[head]
                 row = np.searchsorted(first, start, "right") - 1
                 path = roll.runs(start, start + n + window - 1)
-                # Equal paths of one document: the first stands for all, the others (c = 0) are repeats already.
-                _, one, back, times = np.unique(X.mix(path ^ X.mix(row.astype(X.U64) + X.U64(1))), return_index=True, return_inverse=True, return_counts=True)
-                c = np.where(one[back] == np.arange(len(row)), times[back], 0)
+                before = np.where(np.r_[True, gap][head], X.U64(0), np.r_[X.U64(0), path[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(low[place[head]].view(np.int64)),
                         pa.array(path.view(np.int64)),
+                        pa.array(before.view(np.int64)),
                         batch.column(0).take(pa.array(row)),
                         pa.array((start - first[row]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
-                        pa.array(c.astype(np.int32)),
                     ],
-                    names=["m", "s", "doc_id", "at", "n", "c"],
+                    names=["m", "s", "before", "row", "at", "n"],
                 )
 
     return run
 
 
-def _edges(window: int):
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digests of the words a..b - 1, joined by one space, as they stand in the text."""
+    size = ends - starts + 1
+    plain = np.r_[data, np.uint8(32)][X.ragged(starts, size)]
+    stop = np.cumsum(size) - 1
+    plain[stop] = 32
+    view = memoryview(plain.tobytes())
+    spans = zip((stop[a] - size[a] + 1).tolist(), stop[b - 1].tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[i:j], digest_size=8).digest() for i, j in spans]), np.int64)
+
+
+def _check(window: int, base: int):
+    """Reads the text at source coordinates. A span with weight 0 gives its digest, others those of each of their windows."""
+
     def run(batches):
         for whole in batches:
             for batch in X.slices(whole):
-                _, _, _, first, hashes = _parsed(batch.column(1))
+                data, starts, ends, first, hashes = _parsed(batch.column(1), base)
                 spans = batch.column(2)
                 rows = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
-                m, at, n, weight = (np.asarray(spans.flatten().field(k)) for k in ("m", "at", "n", "weight"))
-                start = X.ragged(first[rows] + at, n)
-                back = np.repeat(np.arange(len(n)), n)
-                wide = X.Rolling(hashes).runs(start, start + window)
+                m, s, at, n, weight = (np.asarray(spans.flatten().field(k)) for k in ("m", "s", "at", "n", "weight"))
+                times = np.where(weight > 0, n, 1)
+                back = np.repeat(np.arange(len(n)), times)
+                start = X.ragged(first[rows] + at, times)
+                single = weight[back] > 0
+                stop = start + np.where(single, 1, n[back]) + window - 1
+                wide = np.zeros(len(start), np.int64)
+                wide[single] = X.Rolling(hashes).runs(start[single], stop[single]).view(np.int64)
+                wide[~single] = s[back[~single]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(m[back]),
-                        pa.array(wide.view(np.int64)),
+                        pa.array(wide),
+                        pa.array(_digests(data, starts, ends, start, stop)),
                         batch.column(0).take(pa.array(rows[back])),
                         pa.array((start - first[rows[back]]).astype(np.int32)),
-                        pa.array(weight[back].astype(np.int64)),
+                        pa.array(weight[back].astype(np.int32)),
                     ],
-                    names=["m", "w", "doc_id", "at", "weight"],
+                    names=[c.split()[0] for c in _CHECKED.split(", ")],
                 )
 
     return run
 
 
+def _compacted(paths: DataFrame, kinds: DataFrame) -> DataFrame:
+    """m, s, row, at, n: the places of the maximal nonbranching spans of repeated paths; m and s are those of the first path."""
+    # A node between two kinds does not branch where all places of one follow the other and both have as many places.
+    earlier = kinds.groupBy(F.col("s").alias("before")).agg(F.max("c").alias("earlier"))
+    one = kinds.where("low = high").select("m", "s", "c", F.col("low").alias("before")).join(earlier, "before").where("c = earlier").select("m", "s", F.lit(True).alias("inner"))
+    told = X.written(kinds.select("m", "s", "c").join(one, ["m", "s"], "left"), "kinds")
+    places = X.join_counted(paths.select("m", "s", "row", "at", "n"), told, ["m", "s"], paths.count())
+    order = Window.partitionBy("row").orderBy("at")
+    first = F.col("inner").isNull() | (F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("n")).over(order), F.lit(-1)))
+    places = places.withColumn("first", first).withColumn("span", F.sum(F.col("first").cast("int")).over(order))
+    return places.groupBy("row", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("m", "s"), "at").alias("k")).select("k.*", "row", "at", "n")
+
+
 def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
-    """doc_id and spans array<struct<at, n>>: runs of n repeated windows from word `at`, one row per document with any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    paths = X.written(docs.mapInArrow(_paths(window, kmer), _PATHS), "paths")
-    repeats = paths.where("c <> 1").select("doc_id", "at", "n")
-    firsts = paths.where("c > 0")
-    nodes = firsts.groupBy("m").agg(F.sum("c").alias("t"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("t > 1")
-    found = X.written(firsts.join(nodes.select("m", (F.col("lo") != F.col("hi")).alias("branch")), "m"), "repeated")
-    branching = found.where("branch")
-    kinds = branching.groupBy("m", "s").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "at", "n")).alias("first"))
-    rebuilt = kinds.select("first.doc_id", F.struct("m", "first.at", "first.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p"))
-    rebuilt = docs.join(rebuilt.groupBy("doc_id").agg(F.collect_list("p").alias("p")), "doc_id")
-    edges = X.written(rebuilt.mapInArrow(_edges(window), "m long, w long, doc_id long, at int, weight long"), "windows")
-    hits = edges.groupBy("m", "w").agg(F.sum("weight").alias("c")).where("c > 1")
-    single = edges.where("weight = 1").join(hits.select("m", "w"), ["m", "w"]).select("doc_id", "at", F.lit(1).alias("n"))
-    equal = kinds.where("c > 1").select("m", "s")
-    whole = found.where("not branch").select("doc_id", "at", "n").union(branching.join(equal, ["m", "s"]).select("doc_id", "at", "n"))
-    return whole.union(single).union(repeats).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    """row and spans array<struct<at, n>> of docs(row, text), row unlike in all rows: runs of n repeated windows from word `at`, one row for each text with any."""
+    for base in BASES:
+        paths = X.written(docs.select("row", "text").mapInArrow(_paths(window, kmer, base), _PATHS), "paths")
+        nodes = paths.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
+        nodes = X.written(nodes.select("m", "c", (F.col("lo") != F.col("hi")).alias("branch")), "nodes")
+        found = X.written(X.join_counted(paths, nodes, ["m"], paths.count()).drop("c"), "found")
+        kinds = found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("low"), F.max("before").alias("high"), F.min(F.struct("row", "at", "n")).alias("first"), F.first("branch").alias("branch"))
+        kinds = X.written(kinds, "kinds")
+        spans = X.written(_compacted(found, kinds.where("c > 1")), "spans")
+        known = spans.select("row", F.struct("m", "s", "at", "n", F.lit(0).alias("weight")).alias("p"))
+        rebuilt = kinds.where("branch").select("first.row", F.struct("m", "s", "first.at", "first.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p"))
+        read = docs.select("row", "text").join(known.union(rebuilt).groupBy("row").agg(F.collect_list("p").alias("p")), "row")
+        checked = X.written(read.mapInArrow(_check(window, base), _CHECKED), "checked")
+        unlike = checked.where("weight = 0").groupBy("m", "w").agg((F.min("digest") != F.max("digest")).alias("unlike"))
+        if not unlike.where("unlike").limit(1).count():
+            break
+    else:
+        raise RuntimeError("texts share hashes of every base")
+    edges = checked.where("weight > 0")
+    keys = ["m", "w", "digest"]
+    hits = edges.groupBy(*keys).agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("c")).where("t > 1")
+    single = X.join_counted(edges.where("weight = 1"), X.written(hits.select(*keys, "c"), "hits"), keys, edges.count()).select("row", "at", F.lit(1).alias("n"))
+    return spans.select("row", "at", "n").union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def _covered(spans: pa.Array, first: np.ndarray, window: int) -> np.ndarray:
@@ -168,8 +216,8 @@ def _kept(window: int):
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the kept words joined by one space, for every row of docs."""
-    spans = duplicates(docs, window, kmer)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
+    docs, _ = X.keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    joined = docs.join(duplicates(docs, window, kmer), "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -198,8 +246,9 @@ def cleaned(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFram
     """docs without the repeated passages; rows of which nothing is left go, texts without any stay as they are."""
     columns, schema = docs.columns, docs.schema
     docs, row = X.keyed(docs)
-    spans = duplicates(docs.select(F.col(row).alias("doc_id"), "text"), window, kmer).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col(row) == F.col("_id"), "left").select(*(docs[c] for c in columns), "_spans")
+    own = X.unused(docs, "spans")
+    spans = duplicates(docs.select(F.col(row).alias("row"), "text"), window, kmer).select(F.col("row").alias(row), F.col("spans").alias(own))
+    joined = docs.join(spans, row, "left").select(*columns, own)
     return joined.mapInArrow(_clean(window, columns.index("text")), schema)
 
 

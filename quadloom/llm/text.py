@@ -6,6 +6,7 @@ numpy, a bounded slice of rows at a time, so no Python object is made for a word
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 2000
 U64 = np.uint64
@@ -26,11 +28,12 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none."""
+    """The folder that the cluster shares. Only a session in one process (master local) that names none gets one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN.setdefault("dir", "file://" + os.path.join(tempfile.gettempdir(), f"quadloom-{uuid.uuid4().hex}"))
     return found.rstrip("/")
 
 
@@ -42,19 +45,26 @@ def bounded(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, read again. It survives lost executors."""
+    """Cuts the lineage: df as a table in the shared folder, read again. It survives lost executors and goes with the application."""
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with signs added until no column of df is called so."""
+    while name in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key of each row, written so that it stays, and the name of that column."""
-    row = "row"
-    while row in map(str.lower, docs.columns):
-        row += "_"
+    row = unused(docs, "row")
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
@@ -138,9 +148,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    sums, inverse = prefix(data.astype(U64) + U64(1), _BASE)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes. base: odd."""
+    sums, inverse = prefix(data.astype(U64) + U64(1), base)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
