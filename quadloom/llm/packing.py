@@ -1,19 +1,25 @@
 """Best-fit packing by bin completion.
 
 Documents become token pieces of at most `capacity` tokens. Which pieces share a sequence depends on the lengths
-alone, so the plan is made from the histogram of lengths (at most `capacity` rows, whatever the input): take the
-largest length left, enumerate undominated fillings around it by branch and bound (larger pieces first; a branch
-is cut when the sums its remaining lengths can reach lie under the waste bound), and use the filling as often as
-its counts allow. Best-fit decreasing gives the first incumbent; restarts with other fillings replace it while the
-lower bound is not met, each given up when its waste passes the incumbent's. Pieces then get their places by
-their rank among equal lengths: ranks are counted in salted shards, so no length gathers in one task.
-
-Defined cases: a null or empty text is the piece of its end token; longer documents are cut, the first piece being the
-short one; rows that repeat a doc_id are packed each; other columns are ignored; an empty table gives an empty table.
+alone, so the plan is made from the histogram of lengths (at most `capacity` rows, whatever the input): a depth-first
+branch and bound completes the sequence of the largest length left with each undominated filling, least waste first, uses
+the filling as often as its counts allow (and, coming back, less often), and cuts a branch by the waste it has made, the
+waste that the large pieces left must make, the L2 bound of what is left, and states that failed before. Best-fit decreasing
+gives the first incumbent; each packing found replaces it. Of packings too large for one search, wasteful and
+random sequences are opened and packed again by the same search. The searches have a budget of nodes: `least` of the result
+is a number of sequences that no packing falls under, so a packing of so many is proved to be least and one of more is the
+best that the budget found. Pieces then get their places by their rank among equal lengths: ranks are counted in
+salted shards, so no length and no repeated row gathers in one task.
+
+Defined cases: a null or empty text is the piece of its end token; very long documents are cut, the first piece being the
+short one; rows that repeat a doc_id, or have none, are packed each; pieces of one length are alike, so ties change no
+count; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -25,7 +31,8 @@ from quadloom.llm import text as X
 from quadloom.llm import tokens
 
 CAPACITY, END = 1024, 2
-RESTARTS, FILLINGS, NODES = 12, 3, 4000
+#: Nodes of one search, pieces from which on the scarcest length goes first, fillings shuffled, sequences packed again at once, and how often.
+NODES, FEW, SHUFFLED, REOPENED, RESTARTS = 2000, 300, 64, 40, 24
 SHARD_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,116 +64,264 @@ def _pieces(capacity: int, end: int, paths: tuple):
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: no packing has fewer sequences."""
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    for k in {0, *(n for n in counts if n <= capacity // 2)}:
-        big = sum(c for n, c in counts.items() if n > capacity - k)
-        mid = [(n, c) for n, c in counts.items() if capacity // 2 < n <= capacity - k]
-        low = sum(n * c for n, c in counts.items() if k <= n <= capacity // 2)
-        room = sum(c for _, c in mid) * capacity - sum(n * c for n, c in mid)
-        best = max(best, big + sum(c for _, c in mid) + max(0, -(-(low - room) // capacity)))
-    return best
-
-
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int = FILLINGS, nodes: int = NODES) -> list[list[tuple[int, int]]]:
-    """Up to `most` undominated fillings [(length, times)] of `room`, least waste and larger pieces first. lengths: falling."""
-    fit = [n for n in lengths if n <= room and counts[n]]
-    if not fit:
-        return [[]]
-    mask = (1 << (room + 1)) - 1
-    reach = [1] * (len(fit) + 1)  # bit s: the lengths from here on can sum to s
-    for i in range(len(fit) - 1, -1, -1):
-        bits, left, step = reach[i + 1], min(counts[fit[i]], room // fit[i]), 1
+    c = np.zeros(capacity + 1, np.int64)
+    for n, k in counts.items():
+        c[n] = k
+    return _bound(c, capacity)
+
+
+def _bound(c: np.ndarray, capacity: int) -> int:
+    """L2 of the counts by length."""
+    half = capacity // 2
+    number, size = np.cumsum(c), np.cumsum(c * np.arange(capacity + 1))
+    k = np.arange(half + 1)
+    mid, mid_size = number[capacity - k] - number[half], size[capacity - k] - size[half]
+    low = size[half] - np.r_[0, size[:half]]
+    need = number[-1] - number[half] + np.maximum(0, -((mid * capacity - mid_size - low) // capacity))
+    return max(int(need.max()), -(-int(size[-1]) // capacity))
+
+
+def _reach(lengths: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """Bit s of item i: lengths[i:] can sum to s."""
+    mask, out = (1 << (room + 1)) - 1, [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        n = lengths[i]
+        bits, left, step = out[i + 1], min(int(counts[n]), room // n), 1
         while left:
             take = min(step, left)
-            bits |= (bits << (take * fit[i])) & mask
+            bits |= (bits << (take * n)) & mask
             left -= take
             step *= 2
-        reach[i] = bits
-    out: list[list[tuple[int, int]]] = []
-    budget = [nodes]
-
-    def branch(i: int, left: int, taken: list[tuple[int, int]]) -> None:
-        if left == 0:
-            out.append(taken)
-            return
-        for j in range(i, len(fit)):
-            budget[0] -= 1
-            if len(out) >= most or budget[0] < 0:
-                return
-            n = fit[j]
-            if n > left or not reach[j] >> left & 1:
-                if not reach[j] >> left & 1:
-                    return  # nothing from here on fills it: the bound
+        out[i] = bits
+    return out
+
+
+def fillings(room: int, lengths: list[int], counts: np.ndarray, most_waste: int):
+    """(waste, [(length, times)]) of the undominated fillings of `room`, least waste and larger pieces first. lengths: falling.
+
+    A filling is dominated, and left out, where a free piece fits into its waste, where a free piece can stand for a smaller
+    one or for two of its own, and a free piece is one that is not in the filling.
+    """
+    fit = [n for n in lengths if n <= room]
+    reach = _reach(fit, counts, room)
+    free = sum(1 << n for n in fit)
+    for waste in range(min(most_waste, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room - waste, ())]
+        while stack:
+            i, left, taken = stack.pop()
+            if left == 0:
+                if not _dominated(taken, waste, free, counts):
+                    yield waste, list(taken)
                 continue
-            for c in range(min(counts[n], left // n), 0, -1):
-                if reach[j + 1] >> (left - c * n) & 1:
-                    branch(j + 1, left - c * n, [*taken, (n, c)])
-                    if len(out) >= most or budget[0] < 0:
-                        return
-
-    goal = room
-    while goal and not reach[0] >> goal & 1:
-        goal -= 1
-    branch(0, goal, [])
-    return out or [[]]
-
-
-def _complete(counts: dict[int, int], capacity: int, most_waste: float, detours: dict[int, int]) -> list[tuple[list[tuple[int, int]], int]] | None:
-    """Patterns with their times, or None once the waste passes the bound. detours: at step -> which filling."""
-    left = dict(counts)
-    lengths = sorted(left, reverse=True)
-    plan, waste, step = [], 0, 0
-    while lengths:
-        top = lengths[0]
+            further = []
+            for j in range(i, len(fit)):
+                if not reach[j] >> left & 1:
+                    break  # nothing from here on fills it
+                n = fit[j]
+                if n <= left:
+                    further += [(j + 1, left - c * n, (*taken, (n, c))) for c in range(min(int(counts[n]), left // n), 0, -1) if reach[j + 1] >> (left - c * n) & 1]
+            stack += reversed(further)
+
+
+def _dominated(taken: tuple[tuple[int, int], ...], waste: int, free: int, counts: np.ndarray) -> bool:
+    for n, c in taken:
+        if c == counts[n]:
+            free &= ~(1 << n)
+    if waste and free & ((2 << waste) - 1):
+        return True
+    gap, one = (1 << waste) - 1, (2 << waste) - 1
+    for i, (n, c) in enumerate(taken):
+        if waste and free >> (n + 1) & gap:
+            return True
+        if c > 1 and free >> 2 * n & one:
+            return True
+        if any(free >> (n + m) & one for m, _ in taken[i + 1 :]):
+            return True
+    return False
+
+
+def _least_waste(left: np.ndarray, lengths: list[int], capacity: int) -> int:
+    """What the pieces over half a sequence, each in one of its own, waste at least."""
+    small = [n for n in lengths if 2 * n <= capacity]
+    sums, out = _reach(small, left, capacity // 2)[0], 0
+    for n in lengths:
+        if 2 * n <= capacity:
+            break
+        out += int(left[n]) * (capacity - n + 1 - (sums & ((2 << (capacity - n)) - 1)).bit_length())
+    return out
+
+
+def _scarcest(left: np.ndarray, lengths: list[int], capacity: int, slack: int) -> tuple[int, dict[int, float]]:
+    """The length with the fewest fillings within the slack, the longest of equals, 0 if one has none; and how many each has,
+    as far as they were counted (up to a million)."""
+    ways = np.zeros(capacity + 1)
+    ways[0] = 1
+    for n in lengths:
+        before = ways.copy()
+        for k in range(1, min(int(left[n]), capacity // n) + 1):
+            ways[k * n :] += before[: capacity + 1 - k * n]
+        np.minimum(ways, 1e6, out=ways)
+    sums = np.cumsum(ways).tolist()
+
+    def within(room: int) -> float:
+        return (sums[room] if room >= 0 else 0) - (sums[room - slack - 1] if room > slack else 0)
+
+    known: dict[int, float] = {}
+    for n in lengths:
+        found, c = 0.0, int(left[n])
+        for room in range(capacity - n, -1, -(c + 1) * n):  # the ways that leave one piece of this length out
+            found += within(room) - within(room - c * n)
+        known[n] = found
+        if found < 1:
+            return 0, known
+    return min(lengths, key=lambda n: known[n]), known
+
+
+def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES, r: random.Random | None = None) -> tuple[list[tuple[list[tuple[int, int]], int]] | None, bool]:
+    """A packing in at most goal sequences, or None; and whether the search came to its end within `nodes` nodes.
+
+    Depth first over the fillings around the largest length left (once no more than FEW pieces are left: around the one with the
+    fewest fillings), each used as often as it can be and, later, less often. A node is cut where its waste or the L2 bound of
+    what is left passes the goal, where a length has no filling, or where the same pieces were left before. r: takes
+    first, of fillings of equal waste, those of pieces that few fillings take, with some chance.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        left[n] = c
+    slack = goal * capacity - sum(n * c for n, c in counts.items())
+    failed: dict[bytes, int] = {}
+    plan: list[tuple[list[tuple[int, int]], int]] = []
+
+    def options(waste: int, used: int, banned):
+        """The choices at this node, none where a bound cuts it."""
+        lengths = np.flatnonzero(left)[::-1].tolist()
+        key = left.tobytes()
+        if waste > slack or failed.get(key, goal + 1) <= used or used + _bound(left, capacity) > goal or waste + _least_waste(left, lengths, capacity) > slack:
+            return
+        top, ways = (lengths[0], {}) if int(left.sum()) > FEW else _scarcest(left, lengths, capacity, slack - waste)
+        later = []
+        if not top:
+            failed[key] = min(used, failed.get(key, used))
+            return
         left[top] -= 1
-        found = fillings(capacity - top, lengths, left)
+        rest = [n for n in lengths if left[n]]
+        whole = left.copy()
         left[top] += 1
-        rest = found[min(detours.get(step, 0), len(found) - 1)]
-        uses = {top: 1}
-        for n, c in rest:
-            uses[n] = uses.get(n, 0) + c
-        times = min(left[n] // c for n, c in uses.items())
-        plan.append((sorted(uses.items(), reverse=True), times))
-        for n, c in uses.items():
+        found = fillings(capacity - top, rest, whole, slack - waste)
+        if r is not None:
+            head = list(itertools.islice(found, SHUFFLED))
+            found = itertools.chain(sorted(head, key=lambda f: (f[0], -sum(1 / ways.get(n, 1e6) for n, _ in f[1]) * r.uniform(0.5, 1))), found)
+        for w, filling in found:
+            uses = dict(filling)
+            uses[top] = uses.get(top, 0) + 1
+            pattern = sorted(uses.items(), reverse=True)
+            if pattern == banned:
+                continue
+            times = min(int(left[n]) // c for n, c in pattern)
+            if w:
+                times = min(times, (slack - waste) // w)
+            if times:
+                yield pattern, times, w
+                later.append((pattern, times, w))
+        for pattern, times, w in later:
+            for t in range(times - 1, 0, -1):
+                yield pattern, t, w
+        failed[key] = min(used, failed.get(key, used))
+
+    stack = [(options(0, 0, None), 0, 0)] if slack >= 0 else []
+    while stack:
+        choices, waste, used = stack[-1]
+        choice = next(choices, None)
+        if choice is None:
+            stack.pop()
+            if plan:
+                pattern, times = plan.pop()
+                for n, c in pattern:
+                    left[n] += c * times
+            continue
+        pattern, times, w = choice
+        for n, c in pattern:
             left[n] -= c * times
-        waste += times * (capacity - sum(n * c for n, c in uses.items()))
-        if waste > most_waste:
-            return None
-        lengths = [n for n in lengths if left[n]]
-        step += 1
-    return plan
+        plan.append((pattern, times))
+        if not left.any():
+            return plan, True
+        nodes -= 1
+        if nodes < 0:
+            return None, False
+        stack.append((options(waste + times * w, used + times, pattern), waste + times * w, used + times))
+    return None, True
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Best-fit decreasing on counts: the tightest single next piece, again and again."""
-    left, plan = {n: c for n, c in counts.items() if c}, []
-    while left:
-        uses: dict[int, int] = {}
-        room = capacity
-        while fit := [n for n in left if n <= room and left[n] > uses.get(n, 0)]:
-            n = max(fit)
-            uses[n] = uses.get(n, 0) + 1
-            room -= n
-        times = min(left[n] // c for n, c in uses.items())
-        plan.append((sorted(uses.items(), reverse=True), times))
-        left = {n: c - uses.get(n, 0) * times for n, c in left.items() if c > uses.get(n, 0) * times}
-    return plan
-
-
-def planned(counts: dict[int, int], capacity: int = CAPACITY, restarts: int = RESTARTS) -> list[tuple[list[tuple[int, int]], int]]:
-    """A packing of counts {length: pieces} as patterns [(length, times in it)] with how often each is used."""
+    """Best-fit decreasing: each piece, the longest first, goes to the fullest sequence that has room; equal sequences at once."""
+    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            room = min((r for r in open_ if r >= n), default=capacity)
+            each = min(left, room // n)
+            if room in open_:
+                pattern, have = open_[room].popitem()
+                if not open_[room]:
+                    del open_[room]
+            else:
+                pattern, have = (), left // each
+            times = min(have, left // each)
+            if have > times:
+                open_.setdefault(room, {})[pattern] = have - times if pattern else 0
+                if not pattern:
+                    del open_[room]
+            fuller = open_.setdefault(room - each * n, {})
+            fuller[(*pattern, (n, each))] = fuller.get((*pattern, (n, each)), 0) + times
+            left -= times * each
+    return [(list(pattern), times) for kinds in open_.values() for pattern, times in kinds.items()]
+
+
+def _bins(plan) -> int:
+    return sum(t for _, t in plan)
+
+
+def _reopened(plan, capacity: int, r: random.Random, nodes: int):
+    """The plan with some of its sequences, all wasteful ones among them, packed again in one less; None if that fails."""
+    waste = [capacity - sum(n * c for n, c in pattern) for pattern, _ in plan]
+    again = {i: min(plan[i][1], REOPENED) for i in range(len(plan)) if waste[i]}
+    for i in r.choices(range(len(plan)), weights=[t for _, t in plan], k=REOPENED):
+        again[i] = min(plan[i][1], again.get(i, 0) + 1)
+    counts: dict[int, int] = {}
+    for i, t in again.items():
+        for n, c in plan[i][0]:
+            counts[n] = counts.get(n, 0) + c * t
+    made, _ = search(counts, capacity, sum(again.values()) - 1, nodes)
+    if made is None:
+        return None
+    return made + [(pattern, t - again.get(i, 0)) for i, (pattern, t) in enumerate(plan) if t > again.get(i, 0)]
+
+
+def planned(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, restarts: int = RESTARTS) -> tuple[list[tuple[list[tuple[int, int]], int]], int]:
+    """A packing of counts {length: pieces} as patterns [(length, times in it)] with how often each is used, and a number of
+    sequences that no packing falls under: where both agree the packing is proved to be least, else a budget ended the search."""
     counts = {int(n): int(c) for n, c in counts.items() if c}
-    total, low = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
-    bins = lambda plan: sum(t for _, t in plan)
-    best = best_fit(counts, capacity)
-    for k in range(restarts):
-        if bins(best) <= low:
+    best, low = best_fit(counts, capacity), lower_bound(counts, capacity)
+    r, ended, few = random.Random(17), True, sum(counts.values()) <= FEW
+    while ended and low < _bins(best):  # the bound rises as long as whole trees fall short of it
+        made, ended = search(counts, capacity, low, nodes)
+        for _ in range(restarts if few and not (made or ended) else 0):
+            made, ended = search(counts, capacity, low, nodes // 4, r)
+            if made or ended:
+                break
+        best, low = made or best, low + (ended and made is None)
+    goal = _bins(best) - 1
+    while low < goal < _bins(best):  # a first descent, then goals halfway to the bound until one fails
+        made, _ = search(counts, capacity, goal, nodes)
+        best = made or best
+        goal = (low + _bins(best)) // 2 if made else low
+    for _ in range(restarts):
+        if _bins(best) <= low:
             break
-        bound = (bins(best) - 1) * capacity - total
-        made = _complete(counts, capacity, bound, {} if k == 0 else {(k - 1) // 2: 1 + (k - 1) % 2})
-        if made is not None and bins(made) < bins(best):
-            best = made
-    return best
+        best = _reopened(best, capacity, r, nodes // 4) or best
+    return best, low
 
 
 class Slots:
@@ -202,28 +357,29 @@ class Slots:
         return sequence, offset
 
 
-def _place(slots: Slots):
+def _place(slots: Slots, least: int):
     def run(batches):
         for b in batches:
             sequence, offset = slots.find(np.asarray(b.column(3)), np.asarray(b.column(5)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), pa.array(np.full(b.num_rows, least))], names=[*b.schema.names[:5], "sequence_id", "offset", "least"])
 
     return run
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, paths: tuple = ()) -> DataFrame:
-    """One row for each piece of docs(doc_id, text) with its sequence and place."""
-    pieces = X.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(capacity, end, paths), PIECES), "pieces")
+    """One row for each piece of docs(doc_id, text) with its sequence and place; least: no packing has fewer sequences."""
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(capacity, end, paths), PIECES)
+    pieces = X.written(pieces.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     histogram = {r.length: r.c for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most `capacity` rows
-    slots = Slots(planned(histogram, capacity))
+    plan, least = planned(histogram, capacity)
     shards = max(8, -(-sum(histogram.values()) // SHARD_ROWS))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod("salt", F.lit(shards))).drop("salt")
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("c")).select("length", "shard", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("own", F.row_number().over(own)).join(sizes, ["length", "shard"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
-    return ranked.mapInArrow(_place(slots), f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(_place(Slots(plan), least), f"{PIECES}, sequence_id long, offset long, least long")
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

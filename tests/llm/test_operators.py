@@ -151,10 +151,10 @@ def test_packing_places(docs, texts):
     assert len(by) <= -(-total // 1024) * 1.01 + 1
 
 
-@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=4))
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_packing_plan_is_near_optimal(counts):
-    plan = packing.planned(counts, 12)
+    plan, least = packing.planned(counts, 12)
     used = collections.Counter()
     for pattern, times in plan:
         assert sum(n * c for n, c in pattern) <= 12
@@ -178,7 +178,40 @@ def test_packing_plan_is_near_optimal(counts):
         return place(0, [12] * bins)
 
     best = next(b for b in range(1, len(items) + 1) if fits(b))
-    assert best <= sum(t for _, t in plan) <= best + 1
+    assert sum(t for _, t in plan) == best == least
+
+
+@pytest.mark.parametrize("seed", [1, 3, 4, 5])
+def test_packing_of_exact_triples(seed):
+    r, counts = random.Random(seed), collections.Counter()
+    for _ in range(40):
+        a = r.randint(200, 500)
+        b = r.randint(200, min(500, 924 - a))
+        counts.update((a, b, 1024 - a - b))
+    plan, least = packing.planned(counts)
+    assert sum(t for _, t in plan) == least == 40
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_best_fit_decreasing(items):
+    rooms = []
+    for n in sorted(items, reverse=True):
+        i = min((i for i, r in enumerate(rooms) if r >= n), key=lambda i: rooms[i], default=None)
+        if i is None:
+            rooms.append(30 - n)
+        else:
+            rooms[i] -= n
+    plan = packing.best_fit(collections.Counter(items), 30)
+    assert sorted(30 - sum(n * c for n, c in p) for p, t in plan for _ in range(t)) == sorted(rooms)
+
+
+def test_packing_is_told_where_a_budget_ends_the_search():
+    r = random.Random(2)
+    counts = collections.Counter(r.randint(1, 700) for _ in range(200))
+    made, ended = packing.search(counts, 1024, packing.lower_bound(counts, 1024), 3)
+    assert made is None and not ended
+    assert packing.search({700: 3}, 1024, 2)[1] and packing.lower_bound({700: 3}, 1024) == 3
 
 
 def test_language_accuracy(docs, spark):
