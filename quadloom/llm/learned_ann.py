@@ -2,18 +2,25 @@
 
 The index is fitted on a bounded sample: its nearest-neighbour graph is cut into balanced parts that keep
 neighbours together (balanced seeding, then moves to the neighbours' part while there is room), and a small network learns to tell
-the parts of a vector and of its neighbours. Every vector of the table goes to its most probable part; a query goes to
-its several most probable ones, as many as reach the target share of true neighbours on the sample, and is reranked there
-by exact distances on the original vectors. Parts are dealt out in blocks of bounded size, so a vector that
-fills a third of the table is no task of its own.
+the parts of a vector and of its neighbours. The number of parts grows with the root of the number of vectors; past FANOUT
+of them each part is cut again by an index of its own, fitted on executors from a bounded sample of that part. Every vector of the
+table goes to its most probable part; a query goes to its several most probable ones, as many as reach the target share
+of true neighbours on the sample, and is reranked there by exact distances on the original vectors. Parts are dealt out in
+blocks of bounded size by row, so a vector or an id that fills a third of the table is no task of its own.
+
+Distances are compared after centring and scaling, candidates within the rounding error of the k-th are kept, and those are
+computed anew from the differences of the original components, so far-away or huge vectors lose no neighbour to rounding.
 
 Defined cases: vectors that are null, zero, of another length than the most common one, or hold null or non-finite
 components take no part; fewer candidates than asked for give fewer rows; ties go to the smaller vec_id; other
-columns are ignored; repeated rows of a vec_id are candidates each; empty tables give empty tables.
+columns are ignored; repeated rows of a vec_id are candidates each, equal query rows are asked once; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,10 +29,10 @@ from pyspark.sql import functions as F
 from quadloom.llm import text as X
 from quadloom.llm.ngram_join import _cuts, _grouped
 
-#: Vectors that the index is fitted on at most.
-SAMPLE = 6000
+#: Vectors that an index is fitted on at most, parts of one index, and sample vectors of a part.
+SAMPLE, FANOUT, SHARE = 6000, 128, 40
 NEIGHBOURS, HIDDEN, EPOCHS, TARGET, SLACK = 10, 128, 40, 0.97, 1.15
-ROWS_PER_PART, MOST_PARTS, BLOCK = 1500, 256, 8192
+BLOCK = 8192
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -108,14 +115,23 @@ class Router:
         return np.argsort(-(np.maximum(z @ self.w[0] + self.b[0], 0) @ self.w[1] + self.b[1]), axis=1, kind="stable")[:, :most]
 
 
+def _unit(x: np.ndarray) -> float:
+    """A power of two near the largest component: dividing by it is exact and keeps squares finite."""
+    most = float(np.abs(x).max(initial=0.0))
+    return float(np.ldexp(1.0, int(np.frexp(most)[1]))) if 0 < most < 2.0**1022 else (2.0**1023 if most else 1.0)
+
+
 class Index:
-    """Fitted on sample vectors for a table of n rows."""
+    """Cuts space into `parts` parts, fitted on sample vectors."""
 
-    def __init__(self, x: np.ndarray, n: int):
-        self.parts = int(min(MOST_PARTS, max(1, n // ROWS_PER_PART), max(1, len(x) // (4 * NEIGHBOURS))))
+    def __init__(self, x: np.ndarray, parts: int):
+        self.parts = max(1, min(parts, len(x) // SHARE))
         self.probes, self.router = 1, None
         if self.parts == 1:
             return
+        self.unit = _unit(x)
+        self.centre = (x / self.unit).mean(0)
+        x = self._plain(x)
         near = _graph(x, NEIGHBOURS)
         label = balanced_parts(x, near, self.parts)
         target = np.zeros((len(x), self.parts))
@@ -128,30 +144,59 @@ class Index:
         share = np.cumsum(np.bincount(rank, minlength=self.parts)) / len(rank)
         self.probes = int(np.searchsorted(share, TARGET) + 1)
 
+    def _plain(self, x: np.ndarray) -> np.ndarray:
+        return x / self.unit - self.centre
+
     def route(self, x: np.ndarray, most: int) -> np.ndarray:
-        return self.router.ranked(x, most) if self.router else np.zeros((len(x), 1), np.int64)
+        """The `most` most probable parts of each row."""
+        return self.router.ranked(self._plain(x), most) if self.router else np.zeros((len(x), 1), np.int64)
+
+
+class Tree:
+    """An index and, where its parts are cut again, the indexes of its parts."""
+
+    def __init__(self, root: Index, below: dict[int, Index] | None = None):
+        self.root, self.below = root, below or {}
+        self.width = max((i.parts for i in self.below.values()), default=1)
+
+    def route(self, x: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part): the part of each row, or those that its search probes."""
+        top = self.root.route(x, self.root.probes if probing else 1)
+        row, part = np.repeat(np.arange(len(x)), top.shape[1]), top.ravel()
+        if not self.below:
+            return row, part
+        rows, parts = [], []
+        for p in np.unique(part).tolist():
+            own, index = row[part == p], self.below.get(p)
+            low = index.route(x[own], index.probes if probing else 1) if index else np.zeros((len(own), 1), np.int64)
+            rows.append(np.repeat(own, low.shape[1]))
+            parts.append(low.ravel() + p * self.width)
+        return np.concatenate(rows), np.concatenate(parts)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _assign(index: Index, dim: int):
+def _routed(tree: Tree, dim: int, probing: bool):
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield b.append_column("part", pa.array(index.route(_matrix(b.column(1), dim), 1)[:, 0].astype(np.int32)))
+                row, part = tree.route(_matrix(b.column(1), dim), probing)
+                yield b.take(pa.array(row)).append_column("part", pa.array(part))
 
     return run
 
 
-def _ask(index: Index, dim: int):
+def _below(dim: int, parts: int):
+    """The pickled index of each part, from its sample: rows come sorted by part."""
+
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                parts = index.route(_matrix(b.column(1), dim), index.probes).astype(np.int32)
-                rows = pa.array(np.repeat(np.arange(b.num_rows), parts.shape[1]))
-                yield b.take(rows).append_column("part", pa.array(parts.ravel()))
+        for table in _grouped(batches, 1):
+            part, cuts = np.asarray(table.column("part")), _cuts(table, 1).tolist()
+            x = _matrix(table.column("embedding").combine_chunks(), dim)
+            made = [pickle.dumps(Index(x[a:b], parts)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(made, pa.binary())], names=["part", "made"])
 
     return run
 
@@ -161,13 +206,20 @@ def nearest(query: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndar
     out = []
     by_id = np.argsort(ids, kind="stable")
     x, ids = x[by_id], ids[by_id]
+    unit = max(_unit(x), _unit(query))
+    x, query = x / unit, query / unit
+    centre = x.mean(0)
+    plain, norm = x - centre, ((x - centre) ** 2).sum(1).max(initial=0.0)
     for a in range(0, len(query), 64):
-        d = _distances(query[a : a + 64], x)
+        own = query[a : a + 64] - centre
+        d = _distances(own, plain)
         d[query_id[a : a + 64, None] == ids[None, :]] = np.inf
         kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+        error = 8 * (x.shape[1] + 4) * np.finfo(float).eps * ((own**2).sum(1) + norm)  # of d, twice over
         for q in range(len(d)):
-            near = np.flatnonzero((d[q] <= kth[q] * (1 + 1e-9) + 1e-9) & np.isfinite(d[q]))
-            exact = np.sqrt(((x[near] - query[a + q]) ** 2).sum(1))
+            near = np.flatnonzero((d[q] <= kth[q] + error[q]) & np.isfinite(d[q]))
+            with np.errstate(over="ignore"):
+                exact = np.sqrt(((x[near] - query[a + q]) ** 2).sum(1)) * unit
             best = np.lexsort((ids[near], exact))[:k]
             out.append((np.full(len(best), a + q), ids[near][best], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
@@ -196,20 +248,37 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(~F.exists("embedding", bad) & F.exists("embedding", lambda e: e != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE) -> DataFrame:
+def fitted(own: DataFrame, dim: int, n: int, sample: int = SAMPLE, fanout: int = FANOUT) -> Tree:
+    """The tree of indexes for the n vectors own(vec_id, embedding) of dim components."""
+    parts = max(1, math.isqrt(n) // 2)
+    picked = own.select("vec_id", "embedding", F.rand(7).alias("r"))
+    rows = picked.where(F.col("r") < min(1.0, 1.2 * sample / max(n, 1))).orderBy("r").limit(sample).collect()
+    root = Tree(Index(np.array([r.embedding for r in rows]).reshape(-1, dim), min(parts, fanout)))
+    if parts <= fanout:
+        return root
+    share = sample * root.root.parts / n  # of each part, about: at most twice as many are taken
+    schema = "vec_id long, embedding array<double>, r double, part long"
+    below = picked.where(F.col("r") < min(1.0, share)).mapInArrow(_routed(root, dim, False), schema)
+    below = X.written(below, "samples")
+    order = Window.partitionBy("part").orderBy("r", "vec_id")
+    below = below.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * sample).select("part", "embedding")
+    below = below.repartition("part").sortWithinPartitions("part")
+    made = below.mapInArrow(_below(dim, -(-parts // root.root.parts)), "part long, made binary").collect()  # at most fanout small networks
+    return Tree(root.root, {r.part: pickle.loads(r.made) for r in made})
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, fanout: int = FANOUT) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each of queries(vec_id, embedding) among vectors."""
     sizes = usable(vectors).groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, n = (sizes.dim, sizes.n) if sizes else (1, 0)
     own = usable(vectors).where(F.size("embedding") == dim)
-    asked = usable(queries).where(F.size("embedding") == dim)
-    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / float(1 << 40)
-    rows = own.where(chance < min(1.0, sample / max(n, 1))).orderBy("vec_id").collect()[: 2 * sample]  # about `sample` rows
-    index = Index(np.array([r.embedding for r in rows]).reshape(-1, dim), n)
-    schema = "vec_id long, embedding array<double>, part int"
-    held = X.written(own.mapInArrow(_assign(index, dim), schema), "vectors")
-    salts = held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("salts"))  # at most MOST_PARTS rows
-    blocks = held.join(F.broadcast(salts), "part").select("part", F.pmod(F.xxhash64("vec_id"), "salts").cast("int").alias("salt"), F.lit(False).alias("ask"), "vec_id", "embedding")
-    asks = asked.mapInArrow(_ask(index, dim), schema).join(F.broadcast(salts), "part")
+    asked = usable(queries).where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
+    tree = fitted(own, dim, n, sample, fanout)
+    schema = "vec_id long, embedding array<double>, part long"
+    held = X.written(own.mapInArrow(_routed(tree, dim, False), schema).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "vectors")
+    salts = held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("salts"))  # at most fanout * fanout rows
+    blocks = held.join(F.broadcast(salts), "part").select("part", F.pmod("deal", "salts").cast("int").alias("salt"), F.lit(False).alias("ask"), "vec_id", "embedding")
+    asks = asked.mapInArrow(_routed(tree, dim, True), schema).join(F.broadcast(salts), "part")
     asks = asks.select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("ask"), "vec_id", "embedding")
     both = blocks.union(asks).repartition("part", "salt").sortWithinPartitions("part", "salt")
     found = both.mapInArrow(_search(dim, k), FOUND)

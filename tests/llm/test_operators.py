@@ -379,16 +379,51 @@ def test_articles(spark):
         assert r.text == " ".join(html.unescape(plain).split()) and r.n_chars == len(r.text)
 
 
-def test_ann_recall(spark):
-    vectors = X.read(spark, "/root/testdata/sf0.1", "embeddings")
-    rows = vectors.collect()
+def ann_truth(rows, step, k=10):
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
-    q = ids % 50 == 0
-    row, found, _ = learned_ann.nearest(x[q], ids[q], x, ids, 10)
-    truth = set(zip(ids[q][row].tolist(), found.tolist(), strict=True))
-    old, learned_ann.ROWS_PER_PART = learned_ann.ROWS_PER_PART, 200
-    try:
-        got = learned_ann.search(vectors, vectors.where("vec_id % 50 = 0"), 10).collect()
-    finally:
-        learned_ann.ROWS_PER_PART = old
+    out = set()
+    for q in np.flatnonzero(ids % step == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        out |= {(int(ids[q]), int(ids[i])) for i in np.lexsort((ids, d))[:k]}
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall(spark, sf):
+    vectors = X.read(spark, f"/root/testdata/{sf}", "embeddings")
+    truth = ann_truth(vectors.collect(), 50)
+    got = learned_ann.search(vectors, vectors.where("vec_id % 50 = 0"), 10).collect()
     assert len(got) == len(truth) and len(truth & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(truth)
+
+
+@pytest.mark.parametrize("fanout", [128, 8])
+def test_ann_prunes_where_there_are_clusters(spark, fanout):
+    """Fewer than a third of the parts are probed, with one level of parts and with two."""
+    r = np.random.RandomState(3)
+    centre = r.randn(60, 16) * 4
+    x = (centre[r.randint(0, 60, 4000)] + r.randn(4000, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    tree = learned_ann.fitted(learned_ann.usable(vectors), 16, 4000, 2000, fanout)
+    assert bool(tree.below) == (fanout == 8) and tree.root.parts == min(31, fanout)
+    probed = np.bincount(tree.route(x[::100].astype(float), True)[0]).mean()
+    parts = sum(i.parts for i in tree.below.values()) or tree.root.parts
+    assert probed < parts / 3
+    truth = ann_truth(vectors.collect(), 100)
+    got = learned_ann.search(vectors, vectors.where("vec_id % 100 = 0"), 10, 2000, fanout).collect()
+    assert len(truth & {(q.query_id, q.vec_id) for q in got}) >= 0.9 * len(truth)
+
+
+@pytest.mark.parametrize("shift, spread", [(1e6, 1e-3), (0.0, 1e160), (0.0, 1e-160), (-3e5, 1e-2)])
+def test_nearest_far_from_the_origin_and_of_any_size(shift, spread):
+    r = np.random.RandomState(1)
+    x = shift + spread * r.randn(300, 8)
+    x[:150] += spread * 1e6  # two clusters far apart
+    ids = np.arange(300)
+    row, found, d = learned_ann.nearest(x[:20], ids[:20], x, ids, 5)
+    from decimal import Decimal
+
+    for q in range(20):
+        exact = sorted((sum((Decimal(a) - Decimal(b)) ** 2 for a, b in zip(x[q].tolist(), x[i].tolist(), strict=True)).sqrt(), i) for i in range(300) if i != q)[:5]
+        assert found[row == q].tolist() == [i for _, i in exact]
+        assert np.allclose(d[row == q], [float(e) for e, _ in exact], rtol=1e-12, atol=0)
