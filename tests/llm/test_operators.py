@@ -364,7 +364,7 @@ PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header>S
 def test_wrapper_without_an_article_element():
     made = [PAGE.format(n=n) for n in ("ann", "bob", "cid")]
     wrapper = html_extract.induced(made)
-    assert wrapper.endswith("div.wrap/div.content")
+    assert wrapper[0].endswith("div.wrap/div.content/")
     assert html_extract.extracted(made[1], wrapper) == "Title bob First é of bobbold. Second line after bob"
     assert html_extract.extracted(made[1].replace('"wrap"', '"other"'), wrapper) == "Title bob First é of bobbold. Second line after bob"
 
