@@ -190,12 +190,14 @@ def chance(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
-def hash_sample(docs: DataFrame, most: int) -> list[str]:
-    """About `most` texts at most of docs(doc_id, text), picked by hash: the driver gets no more, whatever the input."""
+def hash_sample(docs: DataFrame, most: int, longest: int = 20_000) -> list[str]:
+    """About `most` texts at most of docs(doc_id, text), picked by hash, a random passage of at most `longest` characters of
+    each: the driver gets no more, whatever the input. For fitting models only."""
     bounded(docs.sparkSession)
     n = docs.count()
-    rows = docs.select("text", chance("doc_id", "text").alias("h")).where(F.col("h") < min(1.0, 1.2 * most / max(n, 1))).collect()
-    return [r.text for r in sorted(rows, key=lambda r: (r.h, r.text))[:most]]
+    start = (F.greatest(F.length("text") - longest, F.lit(0)) * F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000).cast("int") + 1
+    rows = docs.select(F.substring(F.col("text"), start, F.lit(longest)).alias("text"), chance("doc_id", "text").alias("h")).where(F.col("h") < min(1.0, 1.2 * most / max(n, 1))).orderBy("h", "text").limit(most).collect()
+    return [r.text for r in rows]
 
 
 def crc_text(column: str) -> Column:
