@@ -1,14 +1,15 @@
 """Secret scans: fixed rules, and character Markov models of random strings and ordinary identifiers.
 
 The rules (assign, access, hex) are searched leftmost and non-overlapping, each kind by itself, and
-failing matches are dropped. Beside them every token of 20 or more characters of [A-Za-z0-9+/_=-] that
+failing matches are dropped. Beside them every token of LEAST or more characters of [A-Za-z0-9+/_=-] that
 touches no rule's span is scored: the log-likelihood of its characters, each given the one before, under
-a model of random strings less that under a model of ordinary identifiers, per character. Tokens above the
-threshold become spans of kind `markov`. Both models are trained from labelled samples.
+a model of random strings less that under a model of ordinary identifiers. A token becomes a span of kind `markov` where its
+sum passes SUM and its mean a character passes MEAN: the sum weighs the evidence, so a short token has to be odder at each
+character than a long one. Both models are trained from labelled samples.
 
 Defined cases: null and empty texts have no spans; very long texts are scanned whole in linear time; offsets are
-code points; repeated rows are scanned each; other columns are ignored (scan) or kept (redacted); empty
-tables give empty tables.
+code points; repeated rows are scanned each; of spans that start together the kinds come as listed; other columns are ignored
+(scan) or kept (redacted), whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ CUES = (b"passw", b"secret", b"token", b"api")
 HEX = S.members("0123456789abcdef")
 TOKEN = string.ascii_letters + string.digits + "+/_=-"
 TOKEN_MEMBERS = S.members(TOKEN)
-LEAST, THRESHOLD = 20, 0.5
+LEAST, SUM, MEAN = 8, 16.0, 0.6
 #: Documents whose words are the ordinary samples, and random strings beside them.
 SAMPLE_DOCS, SAMPLE_RANDOM = 200, 4000
 _CODE = np.zeros(256, np.int64)
 _CODE[list(TOKEN.encode())] = np.arange(1, len(TOKEN) + 1)
 
 
-def trained(samples: list[tuple[str, int]], smoothing: float = 0.5) -> np.ndarray:
+def trained(samples: list[tuple[str, int]], smoothing: float = 1.5) -> np.ndarray:
     """Log-likelihood ratio of each character given the one before, from (string, 1 if random else 0)."""
     n = len(TOKEN) + 1
     counts = np.full((2, n, n), smoothing)
@@ -57,7 +58,7 @@ def trained(samples: list[tuple[str, int]], smoothing: float = 0.5) -> np.ndarra
 def random_strings(n: int, seed: int = 7) -> list[str]:
     r = random.Random(seed)
     kinds = (string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, "0123456789abcdef", TOKEN)
-    return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(20, 64))) for i in range(n)]
+    return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(LEAST, 64))) for i in range(n)]
 
 
 def labelled_samples(docs: DataFrame, most_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> list[tuple[str, int]]:
@@ -69,8 +70,10 @@ def labelled_samples(docs: DataFrame, most_docs: int = SAMPLE_DOCS, n_random: in
     joined = [r.choice("_-/").join(r.choices(seen, k=3)) + r.choice(("", "", "1", "_2", "2024")) for _ in range(len(seen) // 2)]
     camel = ["".join(w.title() for w in r.choices(seen, k=3)) for _ in range(len(seen) // 2)]
     lower = [w.lower() for w in seen] + [w.upper() for w in seen[::4]]
+    numbers = ["".join(r.choices(string.digits, k=r.randint(4, 19))) for _ in range(1000)] + ["-".join("".join(r.choices(string.digits, k=r.randint(2, 4))) for _ in range(r.randint(2, 4))) for _ in range(1000)]
+    versions = [f"{r.choice(seen)}{r.choice('-_')}{r.randint(1, 99)}{r.choice(('', '-rc1', 'b', '-x86', '_v2'))}" for _ in range(1000)]
     dates = [f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" for _ in range(200)] + [c * r.randint(20, 40) for c in "-=_/+*0123456789" for _ in range(20)]
-    return [(s, 0) for s in seen + lower + joined + camel + dates] + [(s, 1) for s in random_strings(n_random)]
+    return [(s, 0) for s in seen + lower + joined + camel + numbers + versions + dates] + [(s, 1) for s in random_strings(n_random)]
 
 
 def base_spans(raw: bytes) -> dict[str, list[tuple[int, int]]]:
@@ -85,7 +88,7 @@ def base_spans(raw: bytes) -> dict[str, list[tuple[int, int]]]:
 
 
 def scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood ratio a character of data[start:end]."""
+    """Log-likelihood ratio of data[start:end]."""
     n = ends - starts
     at = X.ragged(starts, n)
     now = _CODE[data[at]]
@@ -93,17 +96,18 @@ def scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.nda
     if len(now):
         before[1:] = now[:-1]
         before[np.cumsum(n) - n] = 0
-    return np.add.reduceat(model[before, now], np.cumsum(n) - n) / n if len(n) else np.zeros(0)
+    return np.add.reduceat(model[before, now], np.cumsum(n) - n) if len(n) else np.zeros(0)
 
 
-def found(data: np.ndarray, offsets: np.ndarray, model: np.ndarray, threshold: float = THRESHOLD):
+def found(data: np.ndarray, offsets: np.ndarray, model: np.ndarray):
     """For each row its bytes and its spans (kind, start, end) in bytes, by start and kind."""
     raw, n = data.tobytes(), len(offsets) - 1
     hexes: dict[int, list[tuple[int, int]]] = {}
     for r, a, b in zip(*(x.tolist() for x in S.runs(data, offsets, HEX, 32)), strict=True):
         hexes.setdefault(r, []).append((a - int(offsets[r]), b - int(offsets[r])))
     rows, starts, ends = S.runs(data, offsets, TOKEN_MEMBERS, LEAST)
-    random_like = scores(data, starts, ends, model) > threshold
+    score = scores(data, starts, ends, model)
+    random_like = (score > SUM) & (score > MEAN * (ends - starts))
     likely: dict[int, list[tuple[int, int]]] = {}
     for r, a, b in zip(rows[random_like].tolist(), starts[random_like].tolist(), ends[random_like].tolist(), strict=True):
         likely.setdefault(r, []).append((a - int(offsets[r]), b - int(offsets[r])))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 2000
+#: Characters of one document that a model is fitted on at most; a random passage where it has more.
+LONGEST_SAMPLE = 100_000
 U64 = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -190,7 +192,7 @@ def chance(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
-def hash_sample(docs: DataFrame, most: int, longest: int = 20_000) -> list[str]:
+def hash_sample(docs: DataFrame, most: int, longest: int = LONGEST_SAMPLE) -> list[str]:
     """About `most` texts at most of docs(doc_id, text), picked by hash, a random passage of at most `longest` characters of
     each: the driver gets no more, whatever the input. For fitting models only."""
     bounded(docs.sparkSession)

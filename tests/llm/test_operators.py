@@ -365,6 +365,29 @@ def test_secret_spans(docs, texts, spark):
     assert all(key not in r.text for r in clean) and clean[2].text == extra[2][1]
 
 
+def test_markov_scores_of_held_out_tokens(docs, texts):
+    """Random strings of 8 characters and more are told from identifiers of words the model has not seen, by length-aware bounds."""
+    import string
+
+    model, r = secret_scan.trained(secret_scan.labelled_samples(docs)), random.Random(77)
+    kinds = (string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, "0123456789abcdef")
+
+    def flagged(tokens):
+        data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
+        ((_, spans),) = secret_scan.found(data, np.array([0, len(data)]), model)
+        own = {data[a:b].tobytes().decode() for k, a, b in spans if k == "markov"}
+        return sum(t in own for t in tokens) / len(tokens)
+
+    for n, least in ((8, 0.4), (12, 0.8), (16, 0.9), (24, 0.97), (31, 0.98)):
+        assert flagged(["".join(r.choices(kinds[i % 4], k=n)) for i in range(400)]) >= least
+    more = [w for t in texts.values() for w in re.findall(r"[A-Za-z]{8,}", t)]
+    assert flagged(more) == 0
+    words = "harbour lantern velvet quarry meadow thistle copper saddle ribbon orchard walnut granite".split()
+    ordinary = ["_".join(r.choices(words, k=3)) for _ in range(200)] + ["".join(w.title() for w in r.choices(words, k=3)) for _ in range(200)]
+    ordinary += [f"{r.choice(words)}-{r.randint(1, 20)}" for _ in range(200)] + [str(r.randint(10**7, 10**15)) for _ in range(200)] + [f"20{r.randint(10, 30)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}" for _ in range(200)]
+    assert flagged(ordinary) <= 0.02
+
+
 def test_media_round_trip(docs, texts):
     for r in media.features(media.encoded(docs)).collect():
         raw = texts[r.doc_id].encode()
