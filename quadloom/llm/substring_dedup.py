@@ -158,14 +158,15 @@ def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
     """row and spans array<struct<at, n>> of docs(row, text), row unlike in all rows: runs of n repeated windows from word `at`, one row for each text with any."""
     for base in BASES:
         paths = X.written(docs.select("row", "text").mapInArrow(_paths(window, kmer, base), _PATHS), "paths")
-        nodes = paths.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
-        nodes = X.written(nodes.select("m", "c", (F.col("lo") != F.col("hi")).alias("branch")), "nodes")
+        nodes = X.written(paths.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nodes")
         found = X.written(X.join_counted(paths, nodes, ["m"], paths.count()).drop("c"), "found")
-        kinds = found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("low"), F.max("before").alias("high"), F.min(F.struct("row", "at", "n")).alias("first"), F.first("branch").alias("branch"))
+        kinds = found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("low"), F.max("before").alias("high"), F.min(F.struct("row", "at", "n")).alias("first"))
         kinds = X.written(kinds, "kinds")
+        branching = X.written(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nodes")
         spans = X.written(_compacted(found, kinds.where("c > 1")), "spans")
         known = spans.select("row", F.struct("m", "s", "at", "n", F.lit(0).alias("weight")).alias("p"))
-        rebuilt = kinds.where("branch").select("first.row", F.struct("m", "s", "first.at", "first.n", F.least("c", F.lit(2)).cast("int").alias("weight")).alias("p"))
+        rebuilt = X.join_counted(kinds.withColumn("weight", F.least("c", F.lit(2)).cast("int")).drop("c"), branching, ["m"], kinds.count())
+        rebuilt = rebuilt.select("first.row", F.struct("m", "s", "first.at", "first.n", "weight").alias("p"))
         read = docs.select("row", "text").join(known.union(rebuilt).groupBy("row").agg(F.collect_list("p").alias("p")), "row")
         checked = X.written(read.mapInArrow(_check(window, base), _CHECKED), "checked")
         unlike = checked.where("weight = 0").groupBy("m", "w").agg((F.min("digest") != F.max("digest")).alias("unlike"))
