@@ -84,6 +84,7 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict | None = None, quads: DataFrame | None = None, *, rules=RULES, soft_limit: int = -1, restricted: bool = False, default_graph_only: bool = False, api_key: str | None = None, access: bool | None = None, base: str = "", prefixes: dict[str, str] | None = None):
         self.spark, self.tables, self.quads, self.rules, self.soft_limit, self.default_graph_only, self.api_key, self.base = spark, tables or {}, quads, frozenset(rules), soft_limit, default_graph_only, api_key, base
         self.restricted, self.access = restricted, access
+        self._shared: frozenset[str] | None = None
         self.prefixes = {"xsd": R.XSD, "rdf": R.RDF, **(prefixes or {})}
 
     def controlled(self) -> bool:
@@ -94,13 +95,25 @@ class Engine:
             self.access = self.quads is not None and rules_of(self.quads).limit(1).count() > 0
         return self.access
 
+    def shared(self) -> frozenset[str]:
+        """Predicates of mapped tables (rdf:type for their classes) that quads hold too; looked up once, one row for each."""
+        if self._shared is None:
+            if not self.tables or self.quads is None:
+                self._shared = frozenset()
+            else:
+                mapped = [p for t in self.tables.values() for p in t.predicates]
+                classes = [t.class_iri for t in self.tables.values()]
+                both = F.col("p").isin(mapped) | ((F.col("p") == R.RDF_TYPE) & F.col("o.lex").isin(classes))
+                self._shared = frozenset(r.p for r in self.quads.where(both).select("p").distinct().collect())
+        return self._shared
+
     def dataset(self) -> Dataset:
         hidden = None
         if self.controlled():
             from quadloom.operators.access import hidden_graphs
 
             hidden = hidden_graphs(self.quads, self.api_key)
-        return Dataset(self.spark, self.tables, self.quads, hidden, self.rules, self.soft_limit, self.default_graph_only, self.restricted)
+        return Dataset(self.spark, self.tables, self.quads, hidden, self.rules, self.soft_limit, self.default_graph_only, self.restricted, self.shared())
 
     def parsed(self, text: str) -> G.Query:
         return parse_query(text, self.base, self.prefixes)
@@ -184,7 +197,7 @@ class Engine:
 
     def match(self, g=None, s=None, p=None, o=None) -> DataFrame:
         """Raw quads by constant slots."""
-        df = Dataset(self.spark, self.tables, self.quads).all_quads()
+        df = self.dataset().all_quads()
         for name, x in (("s", s), ("o", o)):
             if x is not None:
                 kind, lex, dt, lang = R.as_row(x)
@@ -199,9 +212,9 @@ class Engine:
         return self.match().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
     def materialised(self) -> Engine:
-        """An engine over the same triples as generic quads."""
+        """An engine over the same triples as generic quads, as far as the reader may see them."""
         access = False if self.quads is None else self.access
-        return Engine(self.spark, {}, Dataset(self.spark, self.tables, self.quads).all_quads(), access=access, rules=self.rules, soft_limit=self.soft_limit, default_graph_only=self.default_graph_only, api_key=self.api_key, base=self.base, prefixes=self.prefixes)
+        return Engine(self.spark, {}, self.dataset().all_quads(), access=access, rules=self.rules, soft_limit=self.soft_limit, default_graph_only=self.default_graph_only, api_key=self.api_key, base=self.base, prefixes=self.prefixes)
 
     def update(self, text: str, **options) -> Engine:
         """The engine after an update, which works on quads; see quadloom.operators.update."""

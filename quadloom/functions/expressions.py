@@ -346,8 +346,8 @@ class Compiler:
         return Val(F.length(V.as_string(a)).cast("bigint"), "integer", maybe=a.maybe)
 
     def f_substr(self, a: Val, start: Val, length: Val | None = None) -> Val:
-        at = F.greatest(V.as_double(start).cast("int"), F.lit(1))
-        n = V.as_double(length).cast("int") if length is not None else F.lit(2**31 - 1)
+        at = F.greatest(V.as_double(start).try_cast("int"), F.lit(1))
+        n = V.as_double(length).try_cast("int") if length is not None else F.lit(2**31 - 1)
         return _string_map(a, lambda s: F.substring(s, at, n))
 
     f_substring = f_substr
@@ -438,7 +438,7 @@ class Compiler:
         return Val(F.current_timestamp().cast("timestamp_ntz"), "dateTime")
 
     def f_from_unixtime(self, a: Val) -> Val:
-        return Val(F.timestamp_seconds(V.as_double(a).cast("bigint")).cast("timestamp_ntz"), "dateTime", maybe=a.maybe)
+        return Val(F.timestamp_seconds(V.as_double(a).try_cast("bigint")).cast("timestamp_ntz"), "dateTime", maybe=a.maybe)
 
     def f_to_unixtime(self, a: Val) -> Val:
         return Val(F.unix_timestamp(V.as_timestamp(a).cast("timestamp")), "integer", maybe=a.maybe)

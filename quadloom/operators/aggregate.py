@@ -45,12 +45,13 @@ def compiled(a: G.Aggregate, scope: Compiler) -> Val:
         kind = number.kind
         col = number.col.cast("bigint") if kind == "integer" else number.col
         if a.name == "sum":
-            total = F.sum_distinct(col) if a.distinct else F.sum(col)
+            total = (F.sum_distinct(col.cast("decimal(38,0)")).try_cast("bigint") if kind == "integer" else F.sum_distinct(col)) if a.distinct else F.try_sum(col)
             zero = F.lit(0).cast("bigint" if kind == "integer" else "double" if kind == "double" else "decimal(38,10)")
-            guarded = F.when(F.count(F.lit(1)) == 0, zero).otherwise(_whole(F.coalesce(total, zero), number)) if number.maybe else F.coalesce(total, zero)
-            return Val(guarded, kind, maybe=number.maybe)
+            total = F.when(F.count(col) == 0, zero).otherwise(total)  # a sum that overflows is an error
+            guarded = F.when(F.count(F.lit(1)) == 0, zero).otherwise(_whole(total, number)) if number.maybe else total
+            return Val(guarded, kind, maybe=True)
         if kind == "integer":
-            total = F.sum_distinct(col) if a.distinct else F.sum(col)
+            total = F.sum_distinct(col.cast("decimal(38,0)")) if a.distinct else F.try_sum(col)
             n = F.count_distinct(col) if a.distinct else F.count(col)
             mean = F.try_divide(total.cast("decimal(20,0)"), n.cast("decimal(20,0)"))
             return Val(_whole(mean, number), "decimal", maybe=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def _templates(rel, quads: list) -> DataFrame | None:
     return out
 
 
-def applied(engine, quads: DataFrame, u: G.Update, allow_load: bool) -> DataFrame:
-    """One operation on quads."""
+def applied(engine, quads: DataFrame, u: G.Update, allow_load: bool, held: list[DataFrame]) -> DataFrame:
+    """One operation on quads. held: gathers what is kept in storage for it."""
     target = u.target or R.DEFAULT_GRAPH
     if u.kind == "insert_data":
         return with_quads(quads, _constants(engine, u.insert))
@@ -73,7 +75,8 @@ def applied(engine, quads: DataFrame, u: G.Update, allow_load: bool) -> DataFram
         data = Dataset(engine.spark, {}, quads, None, engine.rules)
         query = G.Query("select", u.where, sources=u.using)
         rel = QueryCompiler(data, query).group(u.where)
-        rel.df.persist()  # the same solutions for both templates
+        if u.delete and u.insert:
+            held.append(rel.df.persist())  # the same solutions for both templates
         gone, more = _templates(rel, u.delete), _templates(rel, u.insert)
         quads = without_quads(quads, gone) if gone is not None else quads
         return with_quads(quads, more) if more is not None else quads
@@ -112,9 +115,13 @@ def updated(engine, text: str, allow_load: bool = False):
     quads = own.quads if own.quads is not None else engine.spark.createDataFrame([], R.QUADS)
     if own.controlled() and not may_write(quads, engine.api_key):
         raise UpdateError("this key may not write")
+    held: list[DataFrame] = []
     for u in parse_update(text, engine.base, engine.prefixes):
-        quads = applied(own, quads, u, allow_load)
-    return Engine(engine.spark, {}, quads, rules=engine.rules, soft_limit=engine.soft_limit, default_graph_only=engine.default_graph_only, api_key=engine.api_key, base=engine.base, prefixes=engine.prefixes)
+        quads = applied(own, quads, u, allow_load, held)
+    out = Engine(engine.spark, {}, quads, rules=engine.rules, soft_limit=engine.soft_limit, default_graph_only=engine.default_graph_only, api_key=engine.api_key, base=engine.base, prefixes=engine.prefixes)
+    for df in held:  # released with the engine; who still holds its quads computes them anew
+        weakref.finalize(out, df.unpersist)
+    return out
 
 
 def put_graph(quads: DataFrame, graph: str, content: DataFrame) -> DataFrame:

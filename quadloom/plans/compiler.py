@@ -31,7 +31,8 @@ RULES = frozenset({"R1", "R2", "R3", "R4", "R5", "R6", "R7"})
 
 @dataclass
 class Dataset:
-    """Mapped tables and generic quads that a query reads. hidden: DataFrame(g) of graphs that it may not see."""
+    """Mapped tables and generic quads that a query reads. hidden: DataFrame(g) of graphs that it may not see: tables and quads
+    are handed out without them. shared: predicates of tables (or rdf:type, for their classes) that quads hold too."""
 
     spark: SparkSession
     tables: dict[str, Table] = field(default_factory=dict)
@@ -41,8 +42,15 @@ class Dataset:
     soft_limit: int = -1
     default_only: bool = False
     restricted: bool = False
+    shared: frozenset[str] = frozenset()
 
     def __post_init__(self):
+        if self.hidden is not None:
+            own = {name: t.without(self.hidden) for name, t in self.tables.items()}
+            by_name = {t.name: t for t in own.values()}
+            for t in own.values():
+                t.foreign = {c: by_name.get(o.name, o) for c, o in t.foreign.items()}
+            self.tables = own
         self.by_predicate = {p: t for t in self.tables.values() for p in t.predicates}
         self.by_class = {t.class_iri: t for t in self.tables.values()}
 
@@ -101,6 +109,7 @@ class _Unit:
     triples: list[G.Triple]
     table: Table | None
     near: Table | None = None  # the one mapped table that can hold the subject of an open predicate
+    mixed: bool = False  # quads hold the table's predicate too
 
     @property
     def vars(self) -> set[str]:
@@ -155,6 +164,8 @@ class QueryCompiler:
                     table = near
             if table is None:
                 out.append(_Unit([t], None, near))
+            elif isinstance(t.p, R.IRI) and t.p.value in self.data.shared:
+                out.append(_Unit([t], table, mixed=True))
             elif not self.on("R1"):
                 out.append(_Unit([t], table))
             elif (t.s, table.name) in stars:
@@ -181,10 +192,11 @@ class QueryCompiler:
             subject = u.triples[0].s
             if not u.table.key and isinstance(subject, R.Var) and subject.name not in wanted and not any(subject in (t.p, t.o) for t in u.triples):
                 subject = None  # a row's blank node that nothing reads
-            rel = u.table.scan(subject, [(t.p, t.o) for t in u.triples], graph, self.sources)
-            if self.data.hidden is not None and u.table.graph is not None:
-                own = Table(u.table.name, u.table.df.join(self.data.hidden.select(F.col("g").alias("_hidden")), F.concat(F.lit(u.table.graph_prefix), F.col(u.table.graph)) == F.col("_hidden"), "left_anti"), u.table.key, u.table.foreign, u.table.graph, u.table.lang)
-                rel = own.scan(u.triples[0].s, [(t.p, t.o) for t in u.triples], graph, self.sources)
+            if u.mixed:
+                subject = u.triples[0].s
+            rel = u.table.scan(subject, [(t.p, t.o) for t in u.triples], graph, self.sources, self.data.default_only)
+            if u.mixed:
+                rel = union([rel, scan_quads(self.data.visible_quads(), u.triples[0], graph, self.sources, self.data.default_only)])
         else:
             t = u.triples[0]
             quads = self.data.visible_quads()
@@ -192,7 +204,7 @@ class QueryCompiler:
             mapped = ([u.near] if u.near else list(self.data.tables.values())) if open_ else []
             own = quads if quads is not None else self.data.spark.createDataFrame([], R.QUADS)
             rels = [scan_quads(own, t, graph, self.sources, self.data.default_only)] if quads is not None or not mapped else []
-            rels += [x.scan(t.s, [(t.p, t.o)], graph, self.sources) for x in mapped]
+            rels += [x.scan(t.s, [(t.p, t.o)], graph, self.sources, self.data.default_only) for x in mapped]
             rel = union(rels) if len(rels) > 1 else rels[0]
         if graph is not None and self.named and isinstance(graph, R.Var) and graph.name in rel.vars:
             rel = rel.where(V.iri_text(rel.vars[graph.name]).isin(self.named))

@@ -6,7 +6,8 @@ and IRIs are written out only where their text is read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ class Table:
     graph_prefix: str = "urn:g/"
 
     def __post_init__(self):
-        self.kinds = {c: k for c, t in self.df.dtypes if (k := kind_of(t))}
+        self.kinds = {c: k for c, t in self.df.dtypes if c != "_row" and (k := kind_of(t))}
         self.class_iri = f"{self.prefix}{self.name}"
         self.predicates = {f"{self.class_iri}#{c}": c for c in self.kinds}
         self.template = f"{self.class_iri}/" + (f"#{len(self.key)}" if len(self.key) > 1 else "")
@@ -76,7 +77,7 @@ class Table:
 
     def rows(self, subject: bool = True) -> DataFrame:
         """The table; with the place of each row in its file where rows have no key and the subject is wanted."""
-        if self.key or not subject:
+        if self.key or not subject or "_row" in self.df.columns:
             return self.df
         try:
             place = F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
@@ -89,12 +90,19 @@ class Table:
             return Val(F.lit(R.DEFAULT_GRAPH), "iri")
         return Val(F.col(self.graph), "iri", self.graph_prefix)
 
+    def without(self, hidden: DataFrame) -> Table:
+        """The table as a reader sees it who may not see the graphs of hidden(g)."""
+        hidden = hidden.select(F.col("g").alias("_hidden"))
+        if self.graph is None:
+            return replace(self, df=self.rows().join(hidden.where(F.col("_hidden") == R.DEFAULT_GRAPH).limit(1), F.lit(True), "left_anti"))
+        return replace(self, df=self.rows().join(hidden, F.concat(F.lit(self.graph_prefix), F.col(self.graph)) == F.col("_hidden"), "left_anti"))
+
     def _matches(self, own: Val, wanted) -> Column:
         if isinstance(wanted, R.IRI):
             return V.key_equals(own, wanted.value) if own.template else V.iri_text(own) == wanted.value if own.kind == "iri" else F.lit(False)
         return F.coalesce(V.equal(own, V.of_literal(wanted)), F.lit(False)) if own.kind == "term" else V.equal(own, V.of_literal(wanted))
 
-    def scan(self, subject, pairs: list[tuple], graph=None, sources: list[str] | None = None) -> Rel:
+    def scan(self, subject, pairs: list[tuple], graph=None, sources: list[str] | None = None, default_only: bool = False) -> Rel:
         """Solutions of the star (subject p o) for pairs (p, o): one scan, whatever the number of pairs. subject: None if nothing reads it."""
         df, vals, conditions = self.rows(subject is not None), {}, []
 
@@ -116,6 +124,8 @@ class Table:
             bind(graph, Val(F.lit(None).cast("string"), "iri"))
         elif graph is not None:
             bind(graph, self.graph_value())
+        if default_only and graph is None and not sources and self.graph is not None:
+            conditions.append(F.lit(False))
         if sources:
             own = self.graph_value()
             conditions.append(F.lit(R.DEFAULT_GRAPH in sources) if self.graph is None else V.iri_text(own).isin(sources))
@@ -148,9 +158,11 @@ class Table:
         return F.filter(F.array(*own), lambda x: x.getField("o").isNotNull())
 
     def quads(self) -> DataFrame:
-        """The table as generic quads."""
-        df = self.rows().select(V.iri_text(self.graph_value()).alias("g"), V.to_term(self.subject()).alias("s"), F.explode(self.pairs()).alias("po"))
-        return df.select("g", "s", "po.p", "po.o").to(R.QUADS)
+        """The table as generic quads, predicate by predicate: a constant predicate leaves one branch that reads its column."""
+        own = [(iri, self.column(c)) for iri, c in self.predicates.items()] + [(R.RDF_TYPE, Val(F.lit(self.class_iri), "iri"))]
+        rows, g, s = self.rows(), V.iri_text(self.graph_value()).alias("g"), V.to_term(self.subject()).alias("s")
+        parts = [rows.select(g, s, F.lit(iri).alias("p"), V.to_term(o).alias("o")).where("o is not null").to(R.QUADS) for iri, o in own]
+        return reduce(DataFrame.unionAll, parts)
 
 
 def star_schema(spark: SparkSession, folder: str, names: set[str] | None = None) -> dict[str, Table]:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quadloom import terms as R
-from quadloom.operators.update import with_quads
 from quadloom.sources.rdf import parsed_lines
 from quadloom.sources.store import Store
 
@@ -21,7 +20,7 @@ def ingest(store: Store, quads: DataFrame, checkpoint: str, once: bool = True) -
     """Commits each micro-batch to the store; a batch that is replayed adds nothing, as quads are a set."""
 
     def commit(batch: DataFrame, _: int) -> None:
-        store.commit(with_quads(store.quads(), batch))
+        store.append(batch)
 
     writer = quads.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

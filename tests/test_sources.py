@@ -84,6 +84,22 @@ def test_store(spark, tmp_path):
     assert s.vacuum() == 1 and s.quads().count() == 3
 
 
+def test_appends_write_what_is_new(spark, tmp_path, monkeypatch):
+    s = Store(spark, "file://" + str(tmp_path / "store"))
+    row = lambda i: f'<urn:a{i}> <urn:p{i % 2}> "{i}" .'
+    quads = lambda *ids: rdf.from_text(spark, "\n".join(map(row, ids)))
+    s.append(quads(1, 2, 3))
+    s.append(quads(2, 3, 4))
+    folders = s.version().split("\n")
+    assert len(folders) == 2 and s.quads().count() == 4
+    assert spark.read.parquet(f"{s.path}/{folders[1]}").count() == 1
+    s.append(quads(1, 4))  # nothing new
+    assert s.quads().count() == 4 and s.vacuum() == 0
+    monkeypatch.setattr("quadloom.sources.store.MOST_FOLDERS", 3)
+    s.append(quads(5))
+    assert len(s.version().split("\n")) == 1 and s.quads().count() == 5 and s.vacuum() == 3
+
+
 def test_text_index(spark, tmp_path):
     (tmp_path / "c.trig").write_text("<system:config> { <urn:t> <urn:quadloom:text#index> <urn:quadloom:text#token>, <urn:quadloom:text#stem>, <urn:quadloom:text#dmetaphone> }")
     (tmp_path / "d.ttl").write_text('<urn:a> <urn:t> "Running, the races!"@en ; <urn:u> "other" .')
