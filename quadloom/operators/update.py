@@ -111,10 +111,10 @@ def updated(engine, text: str, allow_load: bool = False):
     """The engine after all operations of text, in order; if one fails none is kept."""
     from quadloom.engine import Engine
 
-    own = engine.materialised() if engine.tables else engine
-    quads = own.quads if own.quads is not None else engine.spark.createDataFrame([], R.QUADS)
-    if own.controlled() and not may_write(quads, engine.api_key):
+    if engine.controlled() and not may_write(engine.quads, engine.api_key):
         raise UpdateError("this key may not write")
+    own = engine.materialised() if engine.tables else engine  # who may write sees all graphs
+    quads = own.quads if own.quads is not None else engine.spark.createDataFrame([], R.QUADS)
     held: list[DataFrame] = []
     for u in parse_update(text, engine.base, engine.prefixes):
         quads = applied(own, quads, u, allow_load, held)

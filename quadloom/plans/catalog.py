@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +50,19 @@ def query(oracle: str | None = None):
     return register
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes with the application; only a local session may have no such folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "quadloom")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
+
+
 # Patterns, filters, bindings
 
 sparql(
@@ -206,11 +222,10 @@ sparql(
 sparql("fn_starts_ends_contains", 'SELECT ?k (STRSTARTS(?n, "Cust") AS ?a) (STRENDS(?n, "1") AS ?b) (CONTAINS(?n, "00") AS ?c) WHERE { ?x customer:c_custkey ?k ; customer:c_name ?n }', "select c_custkey k, starts_with(c_name,'Cust') a, ends_with(c_name,'1') b, contains(c_name,'00') c from customer")
 sparql("fn_concat", 'SELECT ?k (CONCAT(?n, "/", ?s) AS ?x) WHERE { ?x customer:c_custkey ?k ; customer:c_name ?n ; customer:c_mktsegment ?s }', "select c_custkey k, c_name||'/'||c_mktsegment x from customer")
 sparql("fn_strlen", "SELECT ?id (STRLEN(?t) AS ?n) WHERE { ?d documents:doc_id ?id ; documents:text ?t }", "select doc_id id, length(text) n from documents")
-sparql("fn_encode_uri", "SELECT ?id (ENCODE_FOR_URI(SUBSTR(?t, 1, 40)) AS ?e) WHERE { ?b benchmark:item_id ?id ; benchmark:text ?t }", "select item_id id, url_encode(substr(text,1,40)) e from benchmark")
-sparql("fn_encode_uri_whole", "SELECT ?id (ENCODE_FOR_URI(?t) AS ?e) WHERE { ?b benchmark:item_id ?id ; benchmark:text ?t }", "select item_id id, url_encode(text) e from benchmark")
+sparql("fn_encode_uri", "SELECT ?id (ENCODE_FOR_URI(?t) AS ?e) WHERE { ?b benchmark:item_id ?id ; benchmark:text ?t }", "select item_id id, url_encode(text) e from benchmark")
 sparql("fn_hashes", "SELECT ?k (MD5(?n) AS ?a) (SHA256(?n) AS ?b) (SHA1(?n) AS ?c) WHERE { ?x customer:c_custkey ?k ; customer:c_name ?n }", "select c_custkey k, md5(c_name) a, sha256(c_name) b, sha1(c_name) c from customer")
 sparql("fn_dates", "SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?a) (HOURS(?d) AS ?h) (MINUTES(?d) AS ?i) (SECONDS(?d) AS ?s) WHERE { ?e events:event_id ?k ; events:ts ?d }", "select event_id k, year(ts) y, month(ts) m, day(ts) a, hour(ts) h, minute(ts) i, second(ts) s from events")
-sparql("fn_date_compare", 'SELECT ?k WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d FILTER(?d < "1995-01-01T00:00:00"^^xsd:dateTime) }', "select o_orderkey k from orders where o_orderdate<timestamp '1995-01-01'")
+sparql("fn_date_compare", 'SELECT ?k WHERE { ?o orders:o_orderkey ?k ; orders:o_orderdate ?d FILTER(?d < "1998-01-01T00:00:00"^^xsd:dateTime) }', "select o_orderkey k from orders where o_orderdate<timestamp '1998-01-01'")
 sparql("fn_if_coalesce_bound", 'SELECT ?id (IF(?q = 1, "good", "bad") AS ?i) (COALESCE(?q, -1) AS ?c) (BOUND(?q) AS ?b) WHERE { ?d documents:doc_id ?id OPTIONAL { ?x labels:doc_id ?d ; labels:quality ?q } }', "select d.doc_id id, case when quality=1 then 'good' when quality is not null then 'bad' end i, coalesce(quality,-1) c, quality is not null b from documents d left join labels l on l.doc_id=d.doc_id")
 sparql("fn_term_tests", "SELECT ?k (ISIRI(?n) AS ?a) (ISBLANK(?n) AS ?b) (ISLITERAL(?k) AS ?c) (ISNUMERIC(?k) AS ?d) (SAMETERM(?n, <urn:t/nation/3>) AS ?e) WHERE { ?c customer:c_custkey ?k ; customer:c_nationkey ?n }", "select c_custkey k, true a, false b, true c, true d, c_nationkey=3 e from customer")
 sparql("fn_lang_datatype", 'SELECT ?id (LANG(?t) AS ?l) (DATATYPE(?id) AS ?dt) (LANGMATCHES(LANG(?t), "en") AS ?m) WHERE { ?d documents:doc_id ?id ; documents:text ?t }', "select doc_id id, upper(lang) l, 'http://www.w3.org/2001/XMLSchema#integer' dt, lang='en' m from documents")
@@ -260,7 +275,6 @@ def delete_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select case when event_type='error' then 'failure' else event_type end t, count(*) n from events group by 1")
 def delete_insert_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _triples(spark, sf_dir, "events")
-    own.quads = own.quads.where(F.col("p") == "urn:t/events#event_type")
     own = own.update('DELETE { GRAPH ?g { ?e events:event_type ?t } } INSERT { GRAPH ?g { ?e events:event_type "failure" } } WHERE { GRAPH ?g { ?e events:event_type ?t } FILTER(?t = "error") }')
     return own.select("SELECT (STR(?x) AS ?t) (COUNT(?e) AS ?n) WHERE { ?e events:event_type ?x } GROUP BY ?x")
 
@@ -268,14 +282,12 @@ def delete_insert_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'urn:g/'||event_type g, count(*) n from events where event_type<>'click' group by 1")
 def clear_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _triples(spark, sf_dir, "events")
-    own.quads = own.quads.where(F.col("p") == "urn:t/events#event_type")
     return own.update("CREATE GRAPH g:other; CLEAR GRAPH g:click").select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?e events:event_type ?t } } GROUP BY ?g")
 
 
 @query("select unnest(['urn:g/a','urn:g/b','urn:g/c']) g, count(*) n from region")
 def add_copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _triples(spark, sf_dir, "region")
-    own.quads = own.quads.where(F.col("p") == "urn:t/region#r_name")
     own = own.update("ADD DEFAULT TO g:a; COPY g:a TO g:b; MOVE g:a TO g:c; COPY g:c TO g:a; DROP DEFAULT")
     return own.select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?r region:r_name ?x } } GROUP BY ?g")
 
@@ -283,13 +295,9 @@ def add_copy_move(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select r_name n, 'urn:x/loaded' g from region")
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes N-Quads of a table to the shared folder and loads them."""
-    import tempfile
-    import uuid
-
     from quadloom.sources import rdf
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quadloom-")
-    path = f"{base}/load-{uuid.uuid4().hex}"
+    path = place(spark, "load")
     rdf.write(_triples(spark, sf_dir, "region").quads, path + ".nt", "ntriples")
     own = Engine(spark, prefixes=PREFIXES).update(f"LOAD <{path}.nt> INTO GRAPH <urn:x/loaded>", allow_load=True)
     return own.select("SELECT (STR(?x) AS ?n) (STR(?h) AS ?g) WHERE { GRAPH ?h { ?r region:r_name ?x } }")
@@ -343,14 +351,6 @@ def acl_hidden_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.select("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?e events:value ?v } } GROUP BY ?g")
 
 
-@query("select '<urn:t/region/'||r_regionkey||'> <urn:t/region#r_name> \"'||r_name||'\" .' as value from region")
-def write_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadloom.sources import rdf
-
-    quads = _triples(spark, sf_dir, "region").quads
-    return rdf.lines(quads.where(F.col("p") == "urn:t/region#r_name"))
-
-
 @query("select n_name as name, n_nationkey k from nation")
 def read_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations written as lines, read again as N-Triples and queried."""
@@ -376,25 +376,11 @@ def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("PREFIX : <urn:x/> SELECT ?name ?r WHERE { ?n a :Picked . ?n nation:n_name ?name ; nation:n_regionkey ?r }")
 
 
-@query("select '<triple><uri>urn:t/region/'||r_regionkey||'</uri><uri>urn:t/region#r_name</uri><plainLiteral>'||r_name||'</plainLiteral></triple>' as value from region")
-def write_trix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadloom.sources import rdf
-
-    return rdf.trix_lines(_triples(spark, sf_dir, "region").quads.where(F.col("p") == "urn:t/region#r_name")).select("value")
-
-
-@query("""select '<rdf:Description rdf:about="urn:t/region/'||r_regionkey||'"><ns0:r_name xmlns:ns0="urn:t/region#">'||r_name||'</ns0:r_name></rdf:Description>' as value from region""")
-def write_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quadloom.sources import rdf
-
-    return rdf.rdfxml_lines(_triples(spark, sf_dir, "region").quads.where(F.col("p") == "urn:t/region#r_name"))
-
-
 @query(
     """select unnest(['<urn:t/region/'||r_regionkey||'> <urn:t/region#r_regionkey> "'||r_regionkey||'"^^<http://www.w3.org/2001/XMLSchema#int> .', '<urn:t/region/'||r_regionkey||'> <urn:t/region#r_name> "'||r_name||'" .',
        '<urn:t/region/'||r_regionkey||'> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:t/region> .']) as value from region"""
 )
-def write_ntriples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.sources import rdf
 
     return rdf.lines(_triples(spark, sf_dir, "region").quads)
@@ -404,7 +390,7 @@ def write_ntriples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select '<triple><uri>urn:t/region/'||r_regionkey||'</uri>'||unnest(['<uri>urn:t/region#r_regionkey</uri><typedLiteral datatype="http://www.w3.org/2001/XMLSchema#int">'||r_regionkey||'</typedLiteral>',
        '<uri>urn:t/region#r_name</uri><plainLiteral>'||r_name||'</plainLiteral>', '<uri>http://www.w3.org/1999/02/22-rdf-syntax-ns#type</uri><uri>urn:t/region</uri>'])||'</triple>' as value from region"""
 )
-def write_trix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_trix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.sources import rdf
 
     return rdf.trix_lines(_triples(spark, sf_dir, "region").quads).select("value")
@@ -414,23 +400,34 @@ def write_trix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select '<rdf:Description rdf:about="urn:t/region/'||r_regionkey||'">'||unnest(['<ns0:r_regionkey xmlns:ns0="urn:t/region#" rdf:datatype="http://www.w3.org/2001/XMLSchema#int">'||r_regionkey||'</ns0:r_regionkey>',
        '<ns0:r_name xmlns:ns0="urn:t/region#">'||r_name||'</ns0:r_name>', '<ns0:type xmlns:ns0="http://www.w3.org/1999/02/22-rdf-syntax-ns#" rdf:resource="urn:t/region"/>'])||'</rdf:Description>' as value from region"""
 )
-def write_rdfxml_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.sources import rdf
 
     return rdf.rdfxml_lines(_triples(spark, sf_dir, "region").quads)
 
 
-def _serialised(form: str) -> Query:
+def _serialised(form: str, head: str | None = None) -> Query:
+    """The solutions as lines made in all tasks; with the head of the format, where it is one line."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quadloom.sources.results import lines
+
         result = engine(spark, sf_dir, {"region"}).query("SELECT ?x ?k ?n WHERE { ?x region:r_regionkey ?j ; region:r_name ?n BIND(xsd:integer(?j) AS ?k) }")
-        return spark.createDataFrame([(line.rstrip("\r\n"),) for line in result.serialise(form)], "line string")
+        own = lines(result, form).withColumnRenamed("value", "line")
+        return own if head is None else spark.createDataFrame([(head,)], "line string").union(own)
 
     return run
 
 
-QUERIES["result_csv"], ORACLES["result_csv"] = _serialised("csv"), "select 'x,k,n' line union all select 'urn:t/region/'||r_regionkey||','||r_regionkey||','||r_name from region"
-QUERIES["result_tsv"], ORACLES["result_tsv"] = _serialised("tsv"), """select '?x'||chr(9)||'?k'||chr(9)||'?n' line union all select '<urn:t/region/'||r_regionkey||'>'||chr(9)||r_regionkey||chr(9)||'"'||r_name||'"' from region"""
+QUERIES["result_csv"], ORACLES["result_csv"] = _serialised("csv", "x,k,n"), "select 'x,k,n' line union all select 'urn:t/region/'||r_regionkey||','||r_regionkey||','||r_name from region"
+QUERIES["result_tsv"], ORACLES["result_tsv"] = _serialised("tsv", "?x\t?k\t?n"), """select '?x'||chr(9)||'?k'||chr(9)||'?n' line union all select '<urn:t/region/'||r_regionkey||'>'||chr(9)||r_regionkey||chr(9)||'"'||r_name||'"' from region"""
 QUERIES["result_xml"], ORACLES["result_xml"] = (
-    lambda spark, sf_dir: _serialised("sparql")(spark, sf_dir).where("line like '<result>%'"),
+    _serialised("sparql"),
     """select '<result><binding name="x"><uri>urn:t/region/'||r_regionkey||'</uri></binding><binding name="k"><literal datatype="http://www.w3.org/2001/XMLSchema#integer">'||r_regionkey||'</literal></binding><binding name="n"><literal>'||r_name||'</literal></binding></result>' line from region""",
 )
+QUERIES["result_json"], ORACLES["result_json"] = (
+    _serialised("json"),
+    """select '{"x":{"type":"uri","value":"urn:t/region/'||r_regionkey||'"},"k":{"type":"literal","value":"'||r_regionkey||'","datatype":"http://www.w3.org/2001/XMLSchema#integer"},"n":{"type":"literal","value":"'||r_name||'"}}' line from region""",
+)
+
+from quadloom.plans import catalog_more  # noqa: E402, F401  registers its queries

@@ -1,4 +1,8 @@
-"""Serialisations of results: XML, JSON (with callback), CSV, TSV, plain text and the Turtle result set of test suites."""
+"""Serialisations of results: XML, JSON (with callback), CSV, TSV, plain text and the Turtle result set of test suites.
+
+lines() makes the lines of solutions in all tasks, by built-in functions, and write() puts them into a folder; serialise() gives the
+whole document to one reader, head and foot included.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,9 @@ import json
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from quadloom import terms as R
 
 # Names of the formats.
@@ -13,6 +20,69 @@ FORMATS = {"sparql": "xml", "xml": "xml", "json": "json", "csv": "csv", "tsv": "
 MEDIA_TYPES = {"xml": "application/sparql-results+xml", "json": "application/sparql-results+json", "csv": "text/csv", "tsv": "text/tab-separated-values", "testcase": "text/turtle"}
 
 
+def _marked(c: Column, marks: dict[str, str]) -> Column:
+    for a, b in marks.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+_XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;"}
+_ATTRIBUTE = {**_XML, '"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"}
+_TSV = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r", '"': '\\"'}
+
+
+def _csv_column(t: Column) -> Column:
+    lex = F.when(t.getField("kind") == R.BNODE, F.concat(F.lit("_:"), t.getField("lex"))).otherwise(t.getField("lex"))
+    quoted = F.concat(F.lit('"'), F.replace(lex, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(lex.rlike('[",\r\n]'), quoted).otherwise(lex), F.lit(""))
+
+
+def _tsv_column(t: Column) -> Column:
+    kind, lex, dt, lang = (t.getField(k) for k in ("kind", "lex", "dt", "lang"))
+    text = F.concat(F.lit('"'), _marked(lex, _TSV), F.lit('"'))
+    out = F.when(kind == R.IRI_KIND, F.concat(F.lit("<"), lex, F.lit(">"))).when(kind == R.BNODE, F.concat(F.lit("_:"), lex))
+    out = out.when(dt == R.XSD_INTEGER, lex).when(dt == R.XSD_DECIMAL, F.when(lex.contains("."), lex).otherwise(F.concat(lex, F.lit(".0"))))
+    out = out.when(dt == R.XSD_DOUBLE, F.when(F.lower(lex).rlike("e|inf"), lex).otherwise(F.concat(lex, F.lit("e0"))))
+    out = out.when(lang.isNotNull(), F.concat(text, F.lit("@"), F.lower(lang))).when(dt.isNotNull(), F.concat(text, F.lit("^^<"), dt, F.lit(">")))
+    return F.coalesce(out.otherwise(text), F.lit(""))
+
+
+def _xml_column(name: str, t: Column) -> Column:
+    kind, lex, dt, lang = t.getField("kind"), _marked(t.getField("lex"), _XML), t.getField("dt"), t.getField("lang")
+    more = F.when(lang.isNotNull(), F.concat(F.lit(' xml:lang="'), _marked(F.lower(lang), _ATTRIBUTE), F.lit('"'))).when(dt.isNotNull(), F.concat(F.lit(' datatype="'), _marked(dt, _ATTRIBUTE), F.lit('"'))).otherwise(F.lit(""))
+    body = F.when(kind == R.IRI_KIND, F.concat(F.lit("<uri>"), lex, F.lit("</uri>"))).when(kind == R.BNODE, F.concat(F.lit("<bnode>"), lex, F.lit("</bnode>"))).otherwise(F.concat(F.lit("<literal"), more, F.lit(">"), lex, F.lit("</literal>")))
+    return F.when(t.isNotNull(), F.concat(F.lit(f"<binding name={quoteattr(name)}>"), body, F.lit("</binding>"))).otherwise(F.lit(""))
+
+
+def _json_column(t: Column) -> Column:
+    kind, lang = t.getField("kind"), t.getField("lang")
+    name = F.when(kind == R.IRI_KIND, "uri").when(kind == R.BNODE, "bnode").otherwise("literal")
+    dt = F.when((kind == R.LITERAL) & lang.isNull(), t.getField("dt"))
+    return F.when(t.isNotNull(), F.struct(name.alias("type"), t.getField("lex").alias("value"), F.lower(lang).alias("xml:lang"), dt.alias("datatype")))
+
+
+def lines(result, form: str) -> DataFrame:
+    """DataFrame(value): a line of xml, json, csv or tsv for each solution, without head and foot."""
+    kind, df = FORMATS[form], result.terms()
+    at = {v: F.col(f"`{v}`") for v in result.variables}
+    if kind == "csv":
+        value = F.concat_ws(",", *map(_csv_column, at.values()))
+    elif kind == "tsv":
+        value = F.concat_ws("\t", *map(_tsv_column, at.values()))
+    elif kind == "xml":
+        value = F.concat(F.lit("<result>"), *(_xml_column(v, c) for v, c in at.items()), F.lit("</result>"))
+    elif kind == "json":
+        value = F.to_json(F.struct(*(_json_column(c).alias(v) for v, c in at.items())))
+    else:
+        raise ValueError(f"no lines of {form}")
+    return df.select(value.alias("value"))
+
+
+def write(result, path: str, form: str, mode: str = "errorifexists") -> None:
+    """A folder of lines(), from all tasks, in the result's order."""
+    lines(result, form).write.mode(mode).text(path)
+
+
 def _rows(result) -> Iterator[list]:
     for r in result.terms().toLocalIterator():
         yield [r[i] for i in range(len(result.variables))]

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_whole_texts_are_encoded(spark):
-    got = {r.id: r.e for r in QUERIES["fn_encode_uri_whole"](spark, SF).collect()}
+    got = {r.id: r.e for r in QUERIES["fn_encode_uri"](spark, SF).collect()}
     assert got == dict(duckdb.sql(f"select item_id, url_encode(text) from '{SF}/benchmark.parquet'").fetchall())
     assert max(map(len, got.values())) > 120  # 40 characters are 120 signs at most, if each is one byte
 
@@ -31,7 +31,7 @@ def test_documents_of_every_language_are_stemmed(spark):
 
 
 def test_all_quads_are_written(spark):
-    for name in ("write_ntriples_whole", "write_trix_whole", "write_rdfxml_whole"):
+    for name in ("write_ntriples", "write_trix", "write_rdfxml"):
         lines = [r.value for r in QUERIES[name](spark, SF).collect()]
         assert sorted(lines) == sorted(r[0] for r in duckdb.sql(ORACLES[name].replace("from region", f"from '{SF}/region.parquet'")).fetchall())
         assert len(lines) == 15
