@@ -18,6 +18,7 @@ count; other columns are ignored, whatever their names; an empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -103,26 +104,35 @@ def fillings(room: int, lengths: list[int], counts: np.ndarray, most_waste: int)
     one or for two of its own, and a free piece is one that is not in the filling.
     """
     fit = [n for n in lengths if n <= room]
-    reach = _reach(fit, counts, room)
+    reach: list[int] | None = _reach(fit, counts, room)
     free = sum(1 << n for n in fit)
     for waste in range(min(most_waste, room) + 1):
         if not reach[0] >> (room - waste) & 1:
             continue
-        stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room - waste, ())]
-        while stack:
-            i, left, taken = stack.pop()
-            if left == 0:
-                if not _dominated(taken, waste, free, counts):
-                    yield waste, list(taken)
+        if room == waste and not _dominated((), waste, free, counts):
+            yield waste, []
+        levels: list[list] = [[0, None, room - waste, ()]]  # next length, next times of it, room left, what is taken
+        while levels:
+            i, c, left, taken = levels[-1]
+            while i < len(fit) and left and reach[i] >> left & 1:  # else nothing from here on fills it
+                n = fit[i]
+                c = min(int(counts[n]), left // n) if c is None else c
+                while c and not reach[i + 1] >> (left - c * n) & 1:
+                    c -= 1
+                if c:
+                    break
+                i, c = i + 1, None
+            if not c:
+                levels.pop()
                 continue
-            further = []
-            for j in range(i, len(fit)):
-                if not reach[j] >> left & 1:
-                    break  # nothing from here on fills it
-                n = fit[j]
-                if n <= left:
-                    further += [(j + 1, left - c * n, (*taken, (n, c))) for c in range(min(int(counts[n]), left // n), 0, -1) if reach[j + 1] >> (left - c * n) & 1]
-            stack += reversed(further)
+            levels[-1][:2] = i, c - 1
+            n, more = fit[i], (*taken, (fit[i], c))
+            if left > c * n:
+                levels.append([i + 1, None, left - c * n, more])
+            elif not _dominated(more, waste, free, counts):
+                reach = None  # a search holds many of these generators; most are never asked again
+                yield waste, list(more)
+                reach = _reach(fit, counts, room)
 
 
 def _dominated(taken: tuple[tuple[int, int], ...], waste: int, free: int, counts: np.ndarray) -> bool:
@@ -197,7 +207,7 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
     def options(waste: int, used: int, banned):
         """The choices at this node, none where a bound cuts it."""
         lengths = np.flatnonzero(left)[::-1].tolist()
-        key = left.tobytes()
+        key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
         if waste > slack or failed.get(key, goal + 1) <= used or used + _bound(left, capacity) > goal or waste + _least_waste(left, lengths, capacity) > slack:
             return
         top, ways = (lengths[0], {}) if int(left.sum()) > FEW else _scarcest(left, lengths, capacity, slack - waste)
