@@ -285,6 +285,8 @@ def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Da
     sketch = X.written(docs.select("doc_id", "text", "row").mapInArrow(_sketch(size), f"doc_id long, row long, k long, signature binary, trees array<struct<{_TREE.replace(' long', ':long')}>>"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     nodes = X.written(sketch.where("k is not null").groupBy("k").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "nodes")
+    keys = X.written(sketch.select("doc_id", "row", "k"), "keys")
+    X.drop(sketch)
 
     rows = nodes.select("k", F.explode("trees").alias("t")).select("k", "t.*")
     buckets = None
@@ -313,7 +315,9 @@ def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Da
     own = own.withColumn("root", F.coalesce("root", "k"))
     least = own.groupBy("root").agg(F.min("first").alias("least"))
     own = own.join(least, "root").select("k", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("c"))
-    return sketch.select("doc_id", "row", "k"), X.written(own, "classes")
+    own = X.written(own, "classes")
+    X.drop(nodes, clusters, verified)
+    return keys, own
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

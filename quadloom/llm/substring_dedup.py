@@ -146,12 +146,15 @@ def _compacted(paths: DataFrame, kinds: DataFrame) -> DataFrame:
     # A node between two kinds does not branch where all places of one follow the other and both have as many places.
     earlier = kinds.groupBy(F.col("s").alias("before")).agg(F.max("c").alias("earlier"))
     one = kinds.where("low = high").select("m", "s", "c", F.col("low").alias("before")).join(earlier, "before").where("c = earlier").select("m", "s", F.lit(True).alias("inner"))
-    told = X.written(kinds.select("m", "s", "c").join(one, ["m", "s"], "left"), "kinds")
+    told = X.written(kinds.select("m", "s", "c").join(one, ["m", "s"], "left"), "told")
     places = X.join_counted(paths.select("m", "s", "row", "at", "n"), told, ["m", "s"], paths.count())
     order = Window.partitionBy("row").orderBy("at")
     first = F.col("inner").isNull() | (F.col("at") != F.coalesce(F.lag(F.col("at") + F.col("n")).over(order), F.lit(-1)))
     places = places.withColumn("first", first).withColumn("span", F.sum(F.col("first").cast("int")).over(order))
-    return places.groupBy("row", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("m", "s"), "at").alias("k")).select("k.*", "row", "at", "n")
+    places = places.groupBy("row", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("m", "s"), "at").alias("k"))
+    places = X.written(places.select("k.*", "row", "at", "n"), "spans")
+    X.drop(told)
+    return places
 
 
 def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -160,15 +163,18 @@ def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
         paths = X.written(docs.select("row", "text").mapInArrow(_paths(window, kmer, base), _PATHS), "paths")
         nodes = X.written(paths.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nodes")
         found = X.written(X.join_counted(paths, nodes, ["m"], paths.count()).drop("c"), "found")
+        X.drop(paths, nodes)
         kinds = found.groupBy("m", "s").agg(F.count(F.lit(1)).alias("c"), F.min("before").alias("low"), F.max("before").alias("high"), F.min(F.struct("row", "at", "n")).alias("first"))
         kinds = X.written(kinds, "kinds")
         branching = X.written(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "nodes")
-        spans = X.written(_compacted(found, kinds.where("c > 1")), "spans")
+        spans = _compacted(found, kinds.where("c > 1"))
+        X.drop(found)
         known = spans.select("row", F.struct("m", "s", "at", "n", F.lit(0).alias("weight")).alias("p"))
         rebuilt = X.join_counted(kinds.withColumn("weight", F.least("c", F.lit(2)).cast("int")).drop("c"), branching, ["m"], kinds.count())
         rebuilt = rebuilt.select("first.row", F.struct("m", "s", "first.at", "first.n", "weight").alias("p"))
         read = docs.select("row", "text").join(known.union(rebuilt).groupBy("row").agg(F.collect_list("p").alias("p")), "row")
         checked = X.written(read.mapInArrow(_check(window, base), _CHECKED), "checked")
+        X.drop(kinds, branching)
         unlike = checked.where("weight = 0").groupBy("m", "w").agg((F.min("digest") != F.max("digest")).alias("unlike"))
         if not unlike.where("unlike").limit(1).count():
             break

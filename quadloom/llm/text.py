@@ -54,7 +54,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written() tables that all of what reads them is written too, and lets Spark clean the shuffles behind them."""
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.table)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -234,7 +245,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        drop(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
