@@ -17,8 +17,8 @@ Defined cases: null and empty texts have no shingle, no link and a class of thei
 shingle are one shingle; repeated rows and equal sets share a node and link to each other; columns other than doc_id and
 text are ignored (classes) or kept (representatives); the class id is the least doc_id of the component, null if it has
 none; the representative of a class is its row with the least doc_id (null after all others), of these the one with the
-least row key, so rows with a null doc_id or a doc_id that other rows share stay where their texts differ; empty tables
-give empty tables.
+least row key, so rows with a null doc_id or a doc_id that other rows share stay where their texts differ; very long texts are
+shingled whole; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -275,8 +275,12 @@ def _dealt(rows: DataFrame, size: str) -> DataFrame:
     return wide.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", size)
 
 
-def _sorted_by(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def _spread(dealt: DataFrame) -> DataFrame:
+    """dealt rows sorted by g, i, j, each pair of blocks in one task. The pairs of a group are counted through, so they go to tasks in
+    turn, and no two of a group share a task before every task has one."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.xxhash64("g") % F.lit(1 << 40) + (F.col("j").cast("long") * (F.col("j") + 1)) / F.lit(2) + F.col("i")
+    return dealt.repartitionById(n, F.pmod(turn.cast("long"), F.lit(n)).cast("int")).sortWithinPartitions("g", "i", "j")
 
 
 def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -298,7 +302,7 @@ def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Da
         buckets = done if buckets is None else buckets.unionByName(done)
         rows = rows.where(F.col("m") > CROWDED).drop("m")
     members = buckets.join(nodes.select("k", "signature"), "k")
-    dealt = _sorted_by(_dealt(members, "m").select("g", "i", "j", "k", "signature"), "g", "i", "j")
+    dealt = _spread(_dealt(members, "m").select("g", "i", "j", "k", "signature"))
     near = X.components(dealt.mapInArrow(_alike(threshold - MARGIN), "a long, b long"))
 
     clusters = X.written(near.select(F.col("node").alias("k"), F.col("root").alias("g")), "clusters")
@@ -306,7 +310,7 @@ def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Da
     members = clusters.join(sizes, "g").join(nodes.select("k", "first.row", "copies"), "k")
     sets = members.join(docs.select("row", "text"), "row").select("text", "k", "g", "m", "copies")
     sets = sets.mapInArrow(_sets(size), "k long, g long, m long, copies long, shingles binary").dropDuplicates(["k"])
-    dealt = _sorted_by(_dealt(sets, "m").select("g", "i", "j", "k", "block", "copies", "shingles"), "g", "i", "j")
+    dealt = _spread(_dealt(sets, "m").select("g", "i", "j", "k", "block", "copies", "shingles"))
     verified = X.written(dealt.mapInArrow(_verified(threshold), "k long, links long, root long"), "verified")
 
     joined = X.components(verified.select(F.col("k").alias("a"), F.col("root").alias("b")))
