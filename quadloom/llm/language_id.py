@@ -6,11 +6,12 @@ of a text is the product over its words. The pieces' probabilities are fitted by
 (forward and backward passes) on a bounded sample of labelled documents of each language. The score is the
 posterior under equal priors.
 
-Words are maximal runs of letters, lower-cased, cut after 32 letters. Forward passes run on numpy matrices of
-equal-length words, once for each new word of a worker; texts are sums over a kept table.
+Words are maximal runs of letters, lower-cased, whole however long: forward passes are rescaled on the way, so no word
+underflows. They run on numpy matrices of equal-length words, once for each new word of a worker; texts are sums over a kept table.
+The model is fitted on words of at most FIT_LETTERS letters of the sampled documents.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; characters outside the vocabulary cost every
-language the same; no labelled training rows: every text is `und`; repeated rows are scored each; other columns are
+language the same; very long texts and words are scored whole; no labelled training rows: every text is `und`; repeated rows are scored each; other columns are
 ignored (predicted) or kept (accepted); ties go to the first language by name; empty tables give empty tables.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from quadloom.llm import pieces as P
 from quadloom.llm import text as X
 
-LONGEST_WORD, LONGEST_PIECE = 32, 10
+#: Letters of a word that the model is fitted on at most, and positions between two rescalings.
+FIT_LETTERS, RESCALE = 32, 16
 #: Labelled documents of each language that the model is fitted on at most, and passes over them.
 SAMPLE_DOCS, PASSES = 500, 4
 SMOOTHING, UNKNOWN = 0.01, 1e-7
@@ -42,7 +44,7 @@ def letter_words(text: str) -> list[str]:
     for w in _LETTERS.findall(text.lower()):
         if not w.isalpha():
             w = "".join(filter(str.isalpha, w))
-        out += [P.MARK + w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
+        out += [P.MARK + w] if w else []
     return out
 
 
@@ -50,7 +52,7 @@ def vocabulary(path: str | None = None) -> list[str]:
     import public_tokenizers
 
     kept = (p for p, _, k in P.load(path or public_tokenizers.path("piece_bpe_32k.model")) if k == P.NORMAL)
-    return [p for p in kept if len(p) <= LONGEST_PIECE and (b := p.removeprefix(P.MARK)) == b.lower() and (b.isalpha() or not b)]
+    return [p for p in kept if (b := p.removeprefix(P.MARK)) == b.lower() and (b.isalpha() or not b)]
 
 
 class Model:
@@ -67,14 +69,20 @@ class Model:
         """Log-probability (words x languages) of words of one length."""
         n, hashes = self._lattice(words)
         alpha = np.zeros((n + 1, len(words), self.p.shape[1]))
-        alpha[0] = 1
+        alpha[0], taken = 1, 0.0
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.table.longest), end):
+            first = max(0, end - self.table.longest)
+            for start in range(first, end):
                 k = self.table.probe(hashes, start, end)
                 hit = np.flatnonzero(k >= 0)
-                alpha[end, hit] += alpha[start, hit] * self.p[k[hit]]
+                if len(hit):
+                    alpha[end, hit] += alpha[start, hit] * self.p[k[hit]]
             alpha[end] += alpha[end - 1] * UNKNOWN
-        return np.log(alpha[n])
+            if end % RESCALE == 0:
+                scale = alpha[end].copy()
+                alpha[first : end + 1] /= scale
+                taken = taken + np.log(scale)
+        return taken + np.log(alpha[n])
 
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words of one length, each weighted by its times. One language."""
@@ -111,7 +119,7 @@ def fitted(texts: dict[str, list[str]], path: str | None = None, passes: int = P
     table = P.Table(kept)
     columns = []
     for lang in sorted(texts):
-        counts = Counter(w for t in texts[lang] for w in letter_words(t))
+        counts = Counter(w for t in texts[lang] for w in letter_words(t) if len(w) <= FIT_LETTERS + 1)
         words = sorted(counts)
         times = np.array([counts[w] for w in words], float)
         p = np.array([[10.0 ** -len(k)] for k in kept])

@@ -14,6 +14,8 @@ from quadloom.llm import text as X
 
 BASE = X.U64(0xC2B2AE3D27D4EB4F)
 MARK = "▁"
+#: Characters of words that advance together at most.
+CELLS = 1 << 19
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -62,14 +64,14 @@ def matrix(words: list[str]) -> np.ndarray:
 
 
 def by_length(words: list[str], most: int = 1 << 14):
-    """Indices of words of equal length, at most `most` at a time."""
+    """Indices of words of equal length, at most `most` at a time, fewer of long ones."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(n, kind="stable")
     cuts = np.flatnonzero(np.diff(n[order])) + 1
     for part in np.split(order, cuts):
-        for a in range(0, len(part), most):
-            if len(part):
-                yield int(n[part[0]]), part[a : a + most]
+        step = max(1, min(most, CELLS // (int(n[part[0]]) + 1))) if len(part) else 1
+        for a in range(0, len(part), step):
+            yield int(n[part[0]]), part[a : a + step]
 
 
 class Table:

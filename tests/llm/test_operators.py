@@ -234,6 +234,20 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(model.forward([w])[0, 0], np.log(total(w)))
 
 
+def test_forward_of_very_long_words():
+    """Every segmentation of a word of any length counts: the sum of a plain dynamic program in logarithms."""
+    from fractions import Fraction
+
+    by = {"a": 0.2, "b": 0.1, "ab": 0.3, "ba": 0.15, "▁": 0.05, "▁a": 0.2}
+    model = language_id.Model(["x"], pieces.Table(list(by)), np.array([[v] for v in by.values()]))
+    word = "▁" + "abacbab" * 60
+    alpha = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        alpha.append(alpha[end - 1] * Fraction(language_id.UNKNOWN) + sum(alpha[start] * Fraction(by[word[start:end]]) for start in range(max(0, end - 2), end) if word[start:end] in by))
+    exact = np.log(alpha[-1].numerator / (1 << alpha[-1].numerator.bit_length())) - np.log(alpha[-1].denominator / (1 << alpha[-1].denominator.bit_length())) + np.log(2) * (alpha[-1].numerator.bit_length() - alpha[-1].denominator.bit_length())
+    assert np.isclose(model.forward([word])[0, 0], exact)
+
+
 def test_ids_equal_sentencepiece(texts):
     import public_tokenizers
     import sentencepiece
