@@ -32,8 +32,8 @@ from quadloom.llm import text as X
 from quadloom.llm import tokens
 
 CAPACITY, END = 1024, 2
-#: Nodes of one search, pieces from which on the scarcest length goes first, fillings shuffled, sequences packed again at once, and how often.
-NODES, FEW, SHUFFLED, REOPENED, RESTARTS = 2000, 300, 64, 40, 24
+#: Nodes of one search, steps of an enumeration of fillings that weigh as much as a node, pieces from which on the scarcest length goes first, fillings shuffled, sequences packed again at once, and how often.
+NODES, NODE_STEPS, FEW, SHUFFLED, REOPENED, RESTARTS = 2000, 200, 300, 64, 40, 24
 SHARD_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -97,11 +97,12 @@ def _reach(lengths: list[int], counts: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def fillings(room: int, lengths: list[int], counts: np.ndarray, most_waste: int):
+def fillings(room: int, lengths: list[int], counts: np.ndarray, most_waste: int, budget: list[int]):
     """(waste, [(length, times)]) of the undominated fillings of `room`, least waste and larger pieces first. lengths: falling.
 
     A filling is dominated, and left out, where a free piece fits into its waste, where a free piece can stand for a smaller
-    one or for two of its own, and a free piece is one that is not in the filling.
+    one or for two of its own, and a free piece is one that is not in the filling. Each step takes one of budget[0]; there are no more
+    fillings once that is spent.
     """
     fit = [n for n in lengths if n <= room]
     reach: list[int] | None = _reach(fit, counts, room)
@@ -114,6 +115,9 @@ def fillings(room: int, lengths: list[int], counts: np.ndarray, most_waste: int)
         levels: list[list] = [[0, None, room - waste, ()]]  # next length, next times of it, room left, what is taken
         while levels:
             i, c, left, taken = levels[-1]
+            budget[0] -= 1
+            if budget[0] < 0:
+                return
             while i < len(fit) and left and reach[i] >> left & 1:  # else nothing from here on fills it
                 n = fit[i]
                 c = min(int(counts[n]), left // n) if c is None else c
@@ -202,6 +206,7 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
         left[n] = c
     slack = goal * capacity - sum(n * c for n, c in counts.items())
     failed: dict[bytes, int] = {}
+    budget = [nodes * NODE_STEPS]
     plan: list[tuple[list[tuple[int, int]], int]] = []
 
     def options(waste: int, used: int, banned):
@@ -219,7 +224,7 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
         rest = [n for n in lengths if left[n]]
         whole = left.copy()
         left[top] += 1
-        found = fillings(capacity - top, rest, whole, slack - waste)
+        found = fillings(capacity - top, rest, whole, slack - waste, budget)
         if r is not None:
             head = list(itertools.islice(found, SHUFFLED))
             found = itertools.chain(sorted(head, key=lambda f: (f[0], -sum(1 / ways.get(n, 1e6) for n, _ in f[1]) * r.uniform(0.5, 1))), found)
@@ -235,6 +240,8 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
             if times:
                 yield pattern, times, w
                 later.append((pattern, times, w))
+        if budget[0] < 0:
+            return
         for pattern, times, w in later:
             for t in range(times - 1, 0, -1):
                 yield pattern, t, w
@@ -244,6 +251,8 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
     while stack:
         choices, waste, used = stack[-1]
         choice = next(choices, None)
+        if budget[0] < 0:
+            return None, False
         if choice is None:
             stack.pop()
             if plan:
@@ -257,9 +266,7 @@ def search(counts: dict[int, int], capacity: int, goal: int, nodes: int = NODES,
         plan.append((pattern, times))
         if not left.any():
             return plan, True
-        nodes -= 1
-        if nodes < 0:
-            return None, False
+        budget[0] -= NODE_STEPS
         stack.append((options(waste + times * w, used + times, pattern), waste + times * w, used + times))
     return None, True
 
