@@ -4,7 +4,8 @@ The public model file is of the pair-merging kind, so the best path is the one i
 path exactly if each piece comes out of its own text whole and no merge would cross the border of two neighbours (if
 the pieces were the whole text). So the lattice's last piece at each position is decided by the last piece at the
 piece's start alone: an edge scores 0 where the two fit and minus infinity where they don't, one edge into each position
-fits, and the vectorised maximum over the starts stores it as the backpointer. Whether two pieces fit is worked out from
+fits, and the vectorised maximum over the starts stores it as the backpointer; words that have reached 0, the bound of
+all paths, are left out of the further starts. Whether two pieces fit is worked out from
 the right and left spines of their merge trees, vectorised too, and kept in a direct-mapped table of fixed size.
 The ids are those of the sentencepiece library.
 
@@ -156,26 +157,28 @@ class Codec:
         points = P.matrix(words)
         rows, n = points.shape
         hashes = self.table.prefixes(points)
-        back, piece = np.zeros((n + 1, rows), np.int32), np.full((n + 1, rows), -1, np.int32)
+        best, back, piece = np.full((n + 1, rows), -np.inf, np.float32), np.zeros((n + 1, rows), np.int32), np.full((n + 1, rows), -1, np.int32)
+        best[0] = 0
         for end in range(1, n + 1):
-            open_ = np.arange(rows)  # words whose edge into this position is not found yet
+            open_ = np.arange(rows)  # words below the bound 0 here, which no path exceeds
             for start in range(max(0, end - self.table.longest), end):
                 k = self.table.find(hashes[end, open_] - hashes[start, open_] * self.table.power[end - start])
                 hit = np.flatnonzero(k >= 0)
                 hit = hit[self.merges.whole[k[hit]]]
-                if start and len(hit):
-                    before = piece[start, open_[hit]]
-                    known = before >= 0
-                    good = np.ones(len(hit), bool)
-                    good[known] = self.fits(before[known], k[hit[known]])
-                    hit = hit[good]
-                if len(hit):
-                    own = open_[hit]
-                    back[end, own], piece[end, own] = start, k[hit]
-                    open_ = np.delete(open_, hit)
-                    if not len(open_):
-                        break
-            back[end, open_] = end - 1
+                if not len(hit):
+                    continue
+                own, edge = open_[hit], np.zeros(len(hit), np.float32)
+                known = np.flatnonzero(piece[start, own] >= 0)
+                if len(known):
+                    edge[known[~self.fits(piece[start, own[known]], k[hit[known]])]] = -np.inf
+                score = np.maximum(best[end, own], best[start, own] + edge)
+                won = score > best[end, own]
+                best[end, own] = score
+                back[end, own[won]], piece[end, own[won]] = start, k[hit[won]]
+                open_ = open_[best[end, open_] < 0]
+                if not len(open_):
+                    break
+            best[end, open_], back[end, open_] = best[end - 1, open_], end - 1  # a character outside the table
         out = np.full((rows, n), -2, np.int64)
         at = np.full(rows, n)
         own = np.arange(rows)
