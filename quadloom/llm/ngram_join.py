@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest, then exact verification.
 
 Documents are sets of word shingles. Equal sets are one node. Each node has TREES signatures of DEPTH minima; in each
-tree, nodes that agree on a prefix stand together in the sorted trie. Prefixes are shortened adaptively: a group
-that is small at LEAST_DEPTH minima stays that wide, crowded ones are split by longer prefixes up to DEPTH. A pair of
-similarity s meets in some tree with probability 1 - (1 - s**d)**TREES, d the prefix length it gets: the
-target recall holds even at full depth (0.998 at s = 0.8; 0.99999 at the shortest prefix).
+tree a signature is a path of a prefix trie, and nodes that agree on a prefix are candidates. A pair of similarity s agrees
+on d minima in some tree with probability 1 - (1 - s**d)**TREES, so the longest prefix that reaches the target recall
+RECALL at the threshold is known (5 minima at 0.8). Paths are cut there; the leaves of the trie, each with its number of
+nodes, roll up level by level, and a prefix is shortened on, by SHORTER minima at most, while no more than CROWDED nodes
+share it: crowded places of the trie keep the target recall, all others exceed it.
 
 Groups larger than a block are compared block by block, so no task holds a whole crowded group. Estimated
 similarity from the signatures joins nodes into candidate clusters, and inside each cluster every pair of blocks is
@@ -25,20 +26,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import text as X
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH, CROWDED = 16, 5, 3, 64
-#: Estimates this far under the threshold (4.5 standard deviations of 80 minima) still join a cluster.
-MARGIN, BLOCK = 0.2, 256
-_K = TREES * DEPTH
+TREES, DEPTH, SHORTER, CROWDED = 16, 5, 2, 64
+#: The chance that a pair at the threshold is found, at least.
+RECALL = 0.998
+#: Estimates this many standard deviations under the threshold still join a cluster.
+DEVIATIONS, BLOCK = 4.5, 256
+#: Bytes of a path: the number of its tree, then its minima.
+_K, WIDTH = TREES * DEPTH, 1 + 2 * DEPTH
 _RANDOM = np.random.RandomState(20240229)
 _MULTIPLY = _RANDOM.randint(0, 1 << 62, _K).astype(X.U64) * X.U64(2) + X.U64(1)
 _ADD = _RANDOM.randint(0, 1 << 62, _K).astype(X.U64)
-_TREE = "p3 long, p4 long, p5 long"
+
+
+def depth(threshold: float) -> int:
+    """The longest prefix that finds a pair at the threshold with probability RECALL."""
+    fits = [d for d in range(1, DEPTH + 1) if 1 - (1 - threshold**d) ** TREES >= RECALL]
+    if not fits:
+        raise ValueError(f"no prefix reaches a recall of {RECALL} at similarity {threshold}")
+    return fits[-1]
 
 
 def _shingles(column: pa.Array, size: int):
@@ -74,29 +85,26 @@ def _sketch(size: int):
                 some = np.flatnonzero(np.diff(offsets))
                 key = np.zeros(batch.num_rows, np.int64)
                 signature = np.zeros((batch.num_rows, _K), np.uint16)
-                prefix = np.zeros((3, batch.num_rows, TREES), np.int64)
                 if len(some):
                     at = offsets[:-1][some]
                     key[some] = _identity(h, offsets, some).view(np.int64)
                     for k in range(_K):
                         low = np.minimum.reduceat((h * _MULTIPLY[k] + _ADD[k]) >> X.U64(32), at)
                         signature[some, k] = X.mix(low) & X.U64(0xFFFF)
-                    values = signature.reshape(-1, TREES, DEPTH).astype(X.U64)
-                    own = np.broadcast_to(np.arange(1, TREES + 1, dtype=X.U64) * X.U64(0x9E3779B97F4A7C15), values.shape[:2]).copy()
-                    for d in range(DEPTH):
-                        own = X.mix(own ^ (values[:, :, d] + X.U64(d + 1) * X.U64(0x10001)))
-                        if d + 1 >= LEAST_DEPTH:
-                            prefix[d + 1 - LEAST_DEPTH] = own.view(np.int64)
-                tree = pa.StructArray.from_arrays([pa.array(p.ravel()) for p in prefix], ["p3", "p4", "p5"])
+                path = np.zeros((batch.num_rows, TREES, WIDTH), np.uint8)
+                path[:, :, 0] = np.arange(TREES)
+                path[:, :, 1:] = signature.astype(">u2").view(np.uint8).reshape(batch.num_rows, TREES, WIDTH - 1)
+                ends = pa.py_buffer(np.arange(0, path.size + 1, WIDTH, dtype=np.int32))
+                paths = pa.Array.from_buffers(pa.binary(), batch.num_rows * TREES, [None, ends, pa.py_buffer(path.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         batch.column(2),
                         pa.array(key, mask=np.diff(offsets) == 0),
                         pa.array([s.tobytes() for s in signature], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * batch.num_rows + 1, TREES, dtype=np.int32)), tree),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * batch.num_rows + 1, TREES, dtype=np.int32)), paths),
                     ],
-                    names=["doc_id", "row", "k", "signature", "trees"],
+                    names=["doc_id", "row", "k", "signature", "paths"],
                 )
 
     return run
@@ -283,27 +291,46 @@ def _spread(dealt: DataFrame) -> DataFrame:
     return dealt.repartitionById(n, F.pmod(turn.cast("long"), F.lit(n)).cast("int")).sortWithinPartitions("g", "i", "j")
 
 
+def _prefix(d: int | Column) -> Column:
+    """The first d minima of a path, with its tree."""
+    return F.substring("path", 1, 1 + 2 * d) if isinstance(d, int) else F.col("path").substr(F.lit(1), 1 + 2 * d)
+
+
+def _buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Of rows(k, path): g, k and m, the nodes of each shared prefix g with their number."""
+    top = depth(threshold)
+    low = max(1, top - SHORTER)
+    shared_ = rows.groupBy(_prefix(low).alias("p")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = rows.withColumn("p", _prefix(low)).join(shared_, "p")
+    found = rows.where(F.col("m") <= CROWDED).select(F.xxhash64("p").alias("g"), "k", "m")
+    if low == top:
+        return found.unionByName(rows.where(F.col("m") > CROWDED).select(F.xxhash64("p").alias("g"), "k", "m"))
+    rows = rows.where(F.col("m") > CROWDED).select("k", _prefix(top).alias("path"))
+    leaves = level = rows.groupBy("path").agg(F.count(F.lit(1)).alias(f"c{top}"))
+    for d in range(top - 1, low, -1):
+        level = level.groupBy(_prefix(d).alias("path")).agg(F.sum(f"c{d + 1}").alias(f"c{d}"))
+        leaves = leaves.withColumn("p", _prefix(d)).join(level.withColumnRenamed("path", "p"), "p").drop("p")
+    deep, size = F.lit(top), F.col(f"c{top}")
+    for d in range(top - 1, low, -1):
+        roomy = F.col(f"c{d}") <= CROWDED
+        deep, size = F.when(roomy, F.lit(d)).otherwise(deep), F.when(roomy, F.col(f"c{d}")).otherwise(size)
+    leaves = leaves.select("path", deep.alias("d"), size.alias("m")).where("m > 1")
+    return found.unionByName(rows.join(leaves, "path").select(F.xxhash64(_prefix(F.col("d"))).alias("g"), "k", "m"))
+
+
 def _joined(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text, row): doc_id, row and node k of each row; and for each node k its class_id, the row
     that represents its class, n_links and copies c."""
-    sketch = X.written(docs.select("doc_id", "text", "row").mapInArrow(_sketch(size), f"doc_id long, row long, k long, signature binary, trees array<struct<{_TREE.replace(' long', ':long')}>>"), "sketch")
+    sketch = X.written(docs.select("doc_id", "text", "row").mapInArrow(_sketch(size), "doc_id long, row long, k long, signature binary, paths array<binary>"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = X.written(sketch.where("k is not null").groupBy("k").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("trees").alias("trees")), "nodes")
+    nodes = X.written(sketch.where("k is not null").groupBy("k").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("paths").alias("paths")), "nodes")
     keys = X.written(sketch.select("doc_id", "row", "k"), "keys")
     X.drop(sketch)
 
-    rows = nodes.select("k", F.explode("trees").alias("t")).select("k", "t.*")
-    buckets = None
-    for p in ("p3", "p4", "p5"):
-        counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        rows = rows.join(counts, p)
-        done = rows if p == "p5" else rows.where(F.col("m") <= CROWDED)
-        done = done.select(F.col(p).alias("g"), "k", "m")
-        buckets = done if buckets is None else buckets.unionByName(done)
-        rows = rows.where(F.col("m") > CROWDED).drop("m")
+    buckets = _buckets(nodes.select("k", F.explode("paths").alias("path")), threshold)
     members = buckets.join(nodes.select("k", "signature"), "k")
     dealt = _spread(_dealt(members, "m").select("g", "i", "j", "k", "signature"))
-    near = X.components(dealt.mapInArrow(_alike(threshold - MARGIN), "a long, b long"))
+    near = X.components(dealt.mapInArrow(_alike(threshold - DEVIATIONS * (threshold * (1 - threshold) / _K) ** 0.5), "a long, b long"))
 
     clusters = X.written(near.select(F.col("node").alias("k"), F.col("root").alias("g")), "clusters")
     sizes = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("m"))

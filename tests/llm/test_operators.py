@@ -80,6 +80,28 @@ def test_ngram_join_brute_force(docs, texts):
     assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.classes(docs).collect()} == jaccard_brute(texts)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.9])
+def test_ngram_join_other_thresholds(spark, threshold):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for g in range(30):
+        base = rng.choices(words, k=120)
+        for _ in range(5):
+            t = [w if rng.random() > 0.02 * (g % 4) else rng.choice(words) for w in base]
+            texts[len(texts)] = " ".join(t)
+    got = ngram_join.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), threshold=threshold).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == jaccard_brute(texts, threshold=threshold)
+
+
+def test_ngram_join_prefix_reaches_the_recall():
+    assert [ngram_join.depth(s) for s in (0.5, 0.65, 0.8, 0.95)] == [1, 2, 5, 5]
+    for s in (0.4, 0.5, 0.65, 0.8):
+        assert 1 - (1 - s ** ngram_join.depth(s)) ** ngram_join.TREES >= ngram_join.RECALL
+    with pytest.raises(ValueError):
+        ngram_join.depth(0.2)
+
+
 def test_ngram_join_crowded_group(spark):
     """More near copies than a block and a crowded bucket hold, all found, and no pair counted twice."""
     r = random.Random(3)
