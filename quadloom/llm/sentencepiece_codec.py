@@ -35,6 +35,8 @@ from quadloom.llm import text as X
 
 MOST_CHUNKS, MOST_CHARACTERS, LONG = 500_000, 20_000_000, 256
 SLOTS = 1 << 21
+#: Bytes of text that are encoded together: the new chunks of one length in them advance as one.
+TOGETHER = 8_000_000
 NEVER = 1 << 40
 _PARTS = re.compile(f"{P.MARK}*[^{P.MARK}]+|{P.MARK}+")
 
@@ -313,7 +315,7 @@ def _encode(path: str | None, sent=None):
     def run(batches):
         own = codec(path, sent.value if sent is not None else None)
         for whole in batches:
-            for batch in X.slices(whole):
+            for batch in X.slices(whole, most=TOGETHER):
                 ids, ends = own.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -371,7 +373,7 @@ def _both(path: str | None, sent):
 
     def run(batches):
         for whole in batches:
-            for batch in X.slices(whole):
+            for batch in X.slices(whole, most=TOGETHER):
                 (ids,) = forth([batch])
                 (texts,) = back([ids])
                 flat, ends = np.asarray(ids.column(1).flatten()).astype("<u4"), np.r_[0, np.cumsum(np.asarray(ids.column(1).value_lengths()))]
