@@ -43,7 +43,7 @@ WINDOW, KMER = 35, 8
 #: Bases of the word hashes; the next one is taken where the verification finds two texts with one hash.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
 _PATHS = "m long, s long, before long, row long, at int, n int"
-_CHECKED = "m long, w long, digest long, row long, at int, weight int"
+_CHECKED = "w long, digest long, row long, at int, weight int"
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -125,10 +125,9 @@ def _check(window: int, base: int):
                 stop = start + np.where(single, 1, n[back]) + window - 1
                 wide = np.zeros(len(start), np.int64)
                 wide[single] = X.Rolling(hashes).runs(start[single], stop[single]).view(np.int64)
-                wide[~single] = s[back[~single]]
+                wide[~single] = (X.mix(m.view(X.U64)) ^ s.view(X.U64)).view(np.int64)[back[~single]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(m[back]),
                         pa.array(wide),
                         pa.array(_digests(data, starts, ends, start, stop)),
                         batch.column(0).take(pa.array(rows[back])),
@@ -174,14 +173,15 @@ def duplicates(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataF
         rebuilt = rebuilt.select("first.row", F.struct("m", "s", "first.at", "first.n", "weight").alias("p"))
         read = docs.select("row", "text").join(known.union(rebuilt).groupBy("row").agg(F.collect_list("p").alias("p")), "row")
         checked = X.written(read.mapInArrow(_check(window, base), _CHECKED), "checked")
-        X.drop(kinds, branching)
-        unlike = checked.where("weight = 0").groupBy("m", "w").agg((F.min("digest") != F.max("digest")).alias("unlike"))
-        if not unlike.where("unlike").limit(1).count():
+        unlike = checked.where("weight = 0").groupBy("w").agg((F.min("digest") != F.max("digest")).alias("unlike"))
+        fine = not unlike.where("unlike").limit(1).count()
+        X.drop(kinds, branching)  # after the next job, which lets go of the shuffled texts of the one before
+        if fine:
             break
     else:
         raise RuntimeError("texts share hashes of every base")
     edges = checked.where("weight > 0")
-    keys = ["m", "w", "digest"]
+    keys = ["w", "digest"]
     hits = edges.groupBy(*keys).agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("c")).where("t > 1")
     single = X.join_counted(edges.where("weight = 1"), X.written(hits.select(*keys, "c"), "hits"), keys, edges.count()).select("row", "at", F.lit(1).alias("n"))
     return spans.select("row", "at", "n").union(single).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
